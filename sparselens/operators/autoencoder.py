@@ -290,10 +290,20 @@ def sample_errors(forwarded, vec="vec"):
         absolute.alias("l1"), F.size(vec).alias("dim"))
 
 
+def _mean_squared():
+    return F.sum("squared_error") / F.sum("dim")
+
+
+def _mean_absolute(lam, num_features, l1):
+    if l1 not in ("mean", "sum"):
+        raise ValueError("l1 must be 'mean' or 'sum'")
+    per = F.count("*") * F.lit(num_features if l1 == "mean" else 1)
+    return F.lit(float(lam)) * F.sum("l1") / per
+
+
 def reconstruction_loss(errors, by=("batch",)):
     """Mean squared error over all numbers of a batch."""
-    return errors.groupBy(*by).agg(
-        (F.sum("squared_error") / F.sum("dim")).alias("reconstruction_loss"))
+    return errors.groupBy(*by).agg(_mean_squared().alias("reconstruction_loss"))
 
 
 def sparsity_loss(errors, lam, num_features, by=("batch",), l1="mean"):
@@ -301,24 +311,28 @@ def sparsity_loss(errors, lam, num_features, by=("batch",), l1="mean"):
 
     ``l1="sum"`` sums over units and averages over samples only.
     """
-    if l1 not in ("mean", "sum"):
-        raise ValueError("l1 must be 'mean' or 'sum'")
-    per = F.count("*") * F.lit(num_features if l1 == "mean" else 1)
-    return errors.groupBy(*by).agg((F.lit(float(lam)) * F.sum("l1") / per).alias("sparsity_loss"))
+    return errors.groupBy(*by).agg(_mean_absolute(lam, num_features, l1).alias("sparsity_loss"))
 
 
 def batch_losses(errors, lam, num_features, by=("batch",), l1="mean", loss=None):
-    """Total loss per batch. ``loss`` replaces the sum by any aggregate of the error columns."""
+    """Total loss per batch, in one pass over the errors. ``loss`` replaces the sum of both
+    parts by any aggregate of the error columns."""
     if loss is not None:
         return errors.groupBy(*by).agg(loss.alias("loss"))
-    parts = reconstruction_loss(errors, by).join(sparsity_loss(errors, lam, num_features, by, l1), list(by))
-    return parts.withColumn("loss", F.col("reconstruction_loss") + F.col("sparsity_loss"))
+    return errors.groupBy(*by).agg(
+        _mean_squared().alias("reconstruction_loss"),
+        _mean_absolute(lam, num_features, l1).alias("sparsity_loss")).withColumn(
+        "loss", F.col("reconstruction_loss") + F.col("sparsity_loss"))
 
 
 def evaluation(errors, lam, num_features, split="split", batch="batch"):
-    """Loss of each batch of each split, with the number of batches of the split."""
+    """Loss of each batch of each split, with the number of batches of the split.
+
+    Counting the loss column keeps both uses of the per-batch result identical, so the
+    shuffle below them (and the model pass) runs once.
+    """
     losses = batch_losses(errors, lam, num_features, (split, batch)).select(split, batch, "loss")
-    counts = losses.groupBy(split).agg(F.count("*").alias("num_batches"))
+    counts = losses.groupBy(split).agg(F.count("loss").alias("num_batches"))
     return losses.join(counts, split)
 
 

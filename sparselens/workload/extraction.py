@@ -368,12 +368,21 @@ def contexts(spark, d):
     return joined(out.select("sample_id", F.col("context_token_ids").alias("context")), "context")
 
 
-@register("P11_context_by_document", "tok dict", """
-    , p AS (SELECT t.doc_id, t.pos, d.token_id, count(*) OVER (PARTITION BY t.doc_id) AS n
-            FROM tok t JOIN dict d ON d.token_text = t.word)
-    SELECT a.doc_id, count(*) AS n, CAST(sum(b.token_id * (o.o + 11)) AS BIGINT) AS weighted
-    FROM p a CROSS JOIN (SELECT unnest(range(-10, 11)) AS o) o
-    JOIN p b ON b.doc_id = a.doc_id AND b.pos = greatest(0, least(a.n - 1, a.pos + o.o)) GROUP BY a.doc_id""")
+def _shifted(o):
+    """Token at offset o, the edge token beyond the ends of the document."""
+    if o == 0:
+        return "token_id"
+    side, edge = ("lag", "first") if o < 0 else ("lead", "last")
+    return f"coalesce({side}(token_id, {abs(o)}) OVER w, {edge}_id)"
+
+
+@register("P11_context_by_document", "tok dict", f"""
+    , p AS (SELECT t.doc_id, t.pos, d.token_id, first_value(d.token_id) OVER f AS first_id, last_value(d.token_id) OVER f AS last_id
+            FROM tok t JOIN dict d ON d.token_text = t.word
+            WINDOW f AS (PARTITION BY t.doc_id ORDER BY t.pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    c AS (SELECT doc_id, {' + '.join(f'{o + 11} * {_shifted(o)}' for o in range(-10, 11))} AS weighted
+          FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+    SELECT doc_id, count(*) * 21 AS n, CAST(sum(weighted) AS BIGINT) AS weighted FROM c GROUP BY doc_id""")
 def document_contexts(spark, d):
     out = ac.context_windows(id_rows(spark, d), by=["doc_id"], order="pos", pos="pos")
     weighted = F.aggregate(F.transform("context_token_ids", lambda t, i: t * (i + 1)),
