@@ -30,6 +30,18 @@ def strongest_per_sample(active, top_k_features=schema.FEATURES_PER_SAMPLE,
     return top_k(active, sample, [first, F.col("feature_id")], top_k_features).drop("rank")
 
 
+def trimmed_entries(samples, threshold=schema.ACTIVATION_THRESHOLD,
+                    top_k_features=schema.FEATURES_PER_SAMPLE, vec="vec"):
+    """Threshold and per-sample trim of dense vectors in one row-wise step: no shuffle, no state."""
+    entries = F.transform(F.col(vec), lambda v, i: F.struct(
+        (-v.cast("double")).alias("neg"), i.alias("feature_id")))
+    strongest = F.slice(F.array_sort(F.filter(
+        entries, lambda e: -e["neg"] > F.lit(float(threshold)))), 1, top_k_features)
+    keep = [c for c in samples.columns if c != vec]
+    return samples.select(*keep, F.explode(strongest).alias("_e")).select(
+        *keep, F.col("_e.feature_id").alias("feature_id"), (-F.col("_e.neg")).alias("activation_value"))
+
+
 def alive_features(active):
     """Distinct units that fired."""
     return active.select("feature_id").distinct()
@@ -85,6 +97,8 @@ def extract_activations(samples, model=None, threshold=schema.ACTIVATION_THRESHO
     if model is not None:
         from sparselens.operators.autoencoder import encode
         active = encode(samples, model, threshold, top_k_features)
+    elif top_k_features is None:
+        active = active_entries(samples, threshold)
     else:
-        active = strongest_per_sample(active_entries(samples, threshold), top_k_features)
+        active = trimmed_entries(samples, threshold, top_k_features)
     return activation_records(active, context_windows(samples, window))

@@ -13,6 +13,8 @@ from sparselens.plans.joins import lookup_join
 
 # Weights up to this many numbers (512 MB as doubles) are shipped to every executor once.
 BROADCAST_CELLS = 64 << 20
+# Unit values held at a time by one task: 64 MB.
+CELLS_AT_ONCE = 8 << 20
 
 
 class Autoencoder:
@@ -73,6 +75,14 @@ def _matrix(column, dim=None):
     return flat.reshape(len(column), width)
 
 
+def _slices(batches, units):
+    """Arrow batches cut so that rows x units stays bounded."""
+    step = max(1, CELLS_AT_ONCE // max(units, 1))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _trim(rows, units, values, k):
     """Entries sorted by (row, value descending, unit), at most k of each row."""
     order = np.lexsort((units, -values, rows))
@@ -106,7 +116,7 @@ def encode(vectors, model, threshold=0.0, top_k_features=None, vec="vec"):
 
     def run(batches):
         ids, w_enc, _, b_enc, b_dec = shared.value
-        for batch in batches:
+        for batch in _slices(batches, len(ids)):
             x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
             f = _relu(x, w_enc, b_enc, b_dec)
             rows, cols = np.nonzero(f > limit)
@@ -165,7 +175,7 @@ def alive_units(vectors, model, threshold=schema.ACTIVATION_THRESHOLD, vec="vec"
 
     def run(batches):
         ids, w_enc, _, b_enc, b_dec = shared.value
-        for batch in batches:
+        for batch in _slices(batches, len(ids)):
             f = _relu(_matrix(batch.column(0), w_enc.shape[1]), w_enc, b_enc, b_dec)
             hit = ids[(f > limit).any(axis=0)].astype("int32")
             yield pa.RecordBatch.from_arrays([pa.array(hit)], schema=arrow)
@@ -190,7 +200,7 @@ def forward(vectors, model, vec="vec"):
 
     def run(batches):
         ids, w_enc, w_dec, b_enc, b_dec = shared.value
-        for batch in batches:
+        for batch in _slices(batches, len(ids)):
             x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
             f = _relu(x, w_enc, b_enc, b_dec)
             rows, cols = np.nonzero(f > 0)
@@ -232,7 +242,7 @@ def decode(activations, samples, model, sample="sample_id"):
 
     def run(batches):
         ids, _, w_dec, _, b_dec = shared.value
-        for batch in batches:
+        for batch in _slices(batches, len(ids)):
             column = batch.column(1)
             entry = column.flatten()
             at = np.repeat(np.arange(len(column)),

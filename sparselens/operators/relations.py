@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparselens.operators.features import activation_quantile, for_feature, value, without_feature
 from sparselens.plans.blocks import dense_products, nearest_products, sparse_cross, sparse_products
 from sparselens.plans.joins import lookup_join
+from sparselens.session import settle
 
 NAN = float("nan")
 
@@ -41,7 +42,7 @@ def co_occurrence_counts(act, probes=None, percentile=0.75, max_features=None):
     own = rows if probes is None else lookup_join(
         rows, probes.select("feature_id").distinct(), "feature_id", "left_semi", max_rows=max_features)
     cuts = activation_quantile(own, percentile, ["feature_id"], max_features)
-    strong = (lookup_join(own, cuts, "feature_id", max_rows=max_features)
+    strong = (lookup_join(own, cuts, "feature_id", max_rows=max_features, measure=True)
               .where(F.col("activation_value") >= F.col("threshold"))
               .select("feature_id", "token_id").distinct().withColumn("_one", F.lit(1.0)))
     present = rows.select("feature_id", "token_id").distinct().withColumn("_one", F.lit(1.0))
@@ -114,7 +115,7 @@ def correlation_pairs(act, max_features=None):
     """Centred cosine of all feature pairs i < j with a shared token; all other pairs are 0."""
     maxima = token_maxima(act)
     means = maxima.groupBy("feature_id").agg(F.avg("activation").alias("_mean"))
-    centred = lookup_join(maxima, means, "feature_id", max_rows=max_features).select(
+    centred = lookup_join(maxima, means, "feature_id", max_rows=max_features, measure=True).select(
         "feature_id", "token_id", (F.col("activation") - F.col("_mean")).alias("activation"))
     return _from_products(
         sparse_products(centred, "token_id", "feature_id", "activation"), "correlation")
@@ -172,20 +173,19 @@ def similarity_block(left, right, vec="w_dec"):
     return dense_products(left, right, "feature_id", "feature_id", vec)
 
 
-def nearest_alive(weights, dead, vec="w_dec"):
+def nearest_alive(weights, dead, vec="w_dec", num_features=None):
     """Nearest alive unit of every dead and of every (other) alive unit.
 
     ``kind`` is dead_alive or alive_alive; without any alive candidate the nearest is null.
+    The dead ids are settled first: they usually end a pass over all samples.
     """
-    ids = dead.select("feature_id")
-    gone = weights.join(ids, "feature_id", "left_semi").select("feature_id", vec)
-    alive = weights.join(ids, "feature_id", "left_anti").select("feature_id", vec)
-
-    def nearest(side, kind, exclude_self):
-        return nearest_products(side, alive, "feature_id", "feature_id", vec, exclude_self).select(
-            F.col("left_id").alias("feature_id"), F.lit(kind).alias("kind"), "nearest_id", "similarity")
-
-    return nearest(gone, "dead_alive", False).unionByName(nearest(alive, "alive_alive", True))
+    tagged = tag_dead(weights.select("feature_id", vec), settle(dead.select("feature_id")))
+    alive = tagged.where(F.col("status") == "alive")
+    found = nearest_products(tagged, alive, "feature_id", "feature_id", vec, True, num_ids=num_features)
+    kind = F.when(F.col("status") == "dead", "dead_alive").otherwise("alive_alive")
+    return found.withColumnRenamed("left_id", "feature_id").join(
+        tagged.select("feature_id", kind.alias("kind")), "feature_id").select(
+        "feature_id", "kind", "nearest_id", "similarity")
 
 
 def nearest_summary(nearest):

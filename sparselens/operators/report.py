@@ -10,6 +10,7 @@ from sparselens.operators import text as tx
 from sparselens.plans.joins import lookup_join
 from sparselens.plans.ordered import WIDTH, dense_index, over_neighbours
 from sparselens.plans.quantiles import exact_quantiles
+from sparselens.session import settle
 
 NAN = float("nan")
 
@@ -17,8 +18,11 @@ NAN = float("nan")
 # ---- report tables ------------------------------------------------------------------
 
 def select_features(act, k=25, min_activations=10):
-    """The k most and k least selective features with their group (``feature_id, group``)."""
-    return ft.head_and_tail(ft.selectivity(act, min_activations), k).select("feature_id", "group")
+    """The k most and k least selective features with their group (``feature_id, group``).
+
+    Settled: all report tables read this short list, and the ranking behind it is one scan.
+    """
+    return settle(ft.head_and_tail(ft.selectivity(act, min_activations), k).select("feature_id", "group"))
 
 
 def batch_summary(act, selected, labels, max_selected=None):
@@ -98,7 +102,7 @@ def smoothed_losses(losses, width=WIDTH):
             .when(~train & (n > 10), F.least(F.lit(10), F.floor(n / 5)))).cast("int")
     recent = over_neighbours(indexed, "_at", {"_recent": lambda w: F.collect_list("loss").over(w)},
                              ["split"], before=49, width=width)
-    rows = lookup_join(recent, counts.select("split", size.alias("window")), "split")
+    rows = lookup_join(recent, counts.select("split", size.alias("window")), "split", measure=True)
     last = F.slice("_recent", F.greatest(F.size("_recent") - F.col("window") + 1, F.lit(1)), F.col("window"))
     mean = F.aggregate(last, F.lit(0.0), lambda s, x: s + x) / F.size(last)
     return rows.select("split", "step", "loss", "window",
@@ -127,7 +131,7 @@ def equal_width_histogram(df, value="activation_value", bins=50, by=(), max_grou
         F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("hi"))
     rows = df.where(v.isNotNull()).select(*by, v.alias("_v"))
     if by:
-        rows = lookup_join(rows, ends, by, max_rows=max_groups)
+        rows = lookup_join(rows, ends, by, max_rows=max_groups, measure=True)
     else:
         rows = rows.withColumn("lo", ends.select("lo").scalar()).withColumn("hi", ends.select("hi").scalar())
     at = F.floor((F.col("_v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)

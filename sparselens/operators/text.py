@@ -1,12 +1,13 @@
 """Token and context text of activation rows, token classes, prompts and labels."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparselens import schema
 from sparselens.functions import text as X
 from sparselens.operators.features import top_activations, top_activations_per_feature
 from sparselens.plans.joins import lookup_join
-from sparselens.plans.topk import top_k
+from sparselens.session import settle
 
 FLAGS = ("pos", "ner", "is_stop", "is_punct", "dep", "subword_position",
          "is_numeric", "is_upper", "is_title", "is_whitespace")
@@ -137,24 +138,33 @@ def parse_replies(replies, reply="reply"):
                   .withColumn("llm_reasoning", X.reply_reasoning(F.col(reply)))
 
 
-def most_frequent_token_labels(ranked):
-    """Offline labels: the most frequent activating token of each feature's rows."""
-    counts = ranked.groupBy("feature_id", "token_text").agg(F.count("*").alias("_n"))
-    best = top_k(counts, "feature_id", [F.desc("_n"), F.col("token_text")], 1)
-    return best.select("feature_id", X.strip(F.col("token_text")).alias("llm_label"),
-                       F.lit("most frequent token").alias("llm_reasoning"))
+def with_most_frequent_token(ranked):
+    """Offline labels: the most frequent activating token of each feature's few ranked rows."""
+    same = Window.partitionBy("feature_id", "token_text")
+    best = (Window.partitionBy("feature_id").orderBy(F.desc("_n"), "token_text")
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (ranked.withColumn("_n", F.count("*").over(same))
+            .withColumn("llm_label", X.strip(F.first("token_text").over(best)))
+            .withColumn("llm_reasoning", F.lit("most frequent token")).drop("_n"))
 
 
 def label_features(ranked, labeller=None):
     """Attach a label and its reasoning to every row of each feature.
 
-    ``labeller`` is a ``mapInPandas`` function over (feature_id, prompt) that returns
-    (feature_id, reply); without it the offline labels are used.
+    ``ranked`` holds a few rows per feature. ``labeller`` is a ``mapInPandas`` function over
+    (feature_id, prompt) that returns (feature_id, reply); its input rows are settled because
+    they are read twice. Without a labeller the offline labels are used.
     """
     if labeller is None:
-        labels = most_frequent_token_labels(ranked)
-    else:
-        asked = prompts(ranked)
-        schema_ = f"feature_id {asked.schema['feature_id'].dataType.simpleString()}, reply string"
-        labels = parse_replies(asked.mapInPandas(labeller, schema_)).drop("reply")
+        return with_most_frequent_token(ranked)
+    ranked = settle(ranked)
+    asked = prompts(ranked)
+    reply = f"feature_id {asked.schema['feature_id'].dataType.simpleString()}, reply string"
+    labels = parse_replies(asked.mapInPandas(labeller, reply)).drop("reply")
     return ranked.join(labels, "feature_id")
+
+
+def feature_labels(labelled):
+    """One row per feature of a labelled frame."""
+    return labelled.groupBy("feature_id").agg(F.first("llm_label").alias("llm_label"),
+                                              F.first("llm_reasoning").alias("llm_reasoning"))

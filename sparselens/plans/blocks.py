@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 BLOCK = 512
-TOKEN_WIDTH = 8192
+TOKEN_WIDTH = 4096
 
 
 def _block(name, width):
@@ -17,6 +17,16 @@ def _block(name, width):
     return F.expr(f"({value} - pmod({value}, {width}L)) div {width}L")
 
 
+def _last_block(cells, block, *others):
+    """Highest block number in use, as a scalar subquery.
+
+    Reading the other columns too keeps the input of the subquery equal to that of the
+    product, so a shuffle below it is done once.
+    """
+    top = F.max(F.struct(block, *others))
+    return cells.agg(F.coalesce(top[block], F.lit(0).cast("long")).alias("_last")).scalar()
+
+
 def sparse_products(entries, row, feature, value, block=BLOCK, row_width=TOKEN_WIDTH):
     """Dot products of all feature pairs i <= j that share a row of a sparse matrix.
 
@@ -28,7 +38,7 @@ def sparse_products(entries, row, feature, value, block=BLOCK, row_width=TOKEN_W
                            F.col(value).cast("double").alias("_x"))
     cells = (cells.withColumn("_b", _block("_f", block))
              .withColumn("_rows", _block("_row", row_width)))
-    top = cells.agg(F.max("_b")).scalar()
+    top = _last_block(cells, "_b", "_x")
     other = F.explode(F.sequence(F.lit(0).cast("long"), top))
     placed = (cells.withColumn("_other", other)
               .withColumn("bi", F.least("_b", "_other"))
@@ -63,26 +73,28 @@ def sparse_products(entries, row, feature, value, block=BLOCK, row_width=TOKEN_W
         F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
 
 
-def _meet(left, right, left_id, right_id, block):
-    """Copy each block of one side to every block of the other; keyed by (lb, rb)."""
+def _meet(left, right, left_id, right_id, block, num_ids=None):
+    """Copy each block of one side to every block of the other; keyed by (lb, rb).
+
+    With a declared id range the number of blocks is known without looking at the data.
+    """
+    zero = F.lit(0).cast("long")
     l = left.withColumn("lb", _block(left_id, block))
     r = right.withColumn("rb", _block(right_id, block))
-    last_l = l.agg(F.coalesce(F.max("lb"), F.lit(-1))).scalar()
-    last_r = r.agg(F.coalesce(F.max("rb"), F.lit(-1))).scalar()
-
-    def upto(last):
-        none = F.array().cast("array<bigint>")
-        return F.explode(F.when(last < 0, none).otherwise(
-            F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0)))))
-
-    return (l.withColumn("rb", upto(last_r)), r.withColumn("lb", upto(last_l)))
+    if num_ids is None:
+        last_l = l.agg(F.coalesce(F.max("lb"), zero)).scalar()
+        last_r = r.agg(F.coalesce(F.max("rb"), zero)).scalar()
+    else:
+        last_l = last_r = F.lit((num_ids - 1) // block).cast("long")
+    return (l.withColumn("rb", F.explode(F.sequence(zero, last_r))),
+            r.withColumn("lb", F.explode(F.sequence(zero, last_l))))
 
 
-def dense_products(left, right, left_id="id", right_id="id", vec="vec", block=BLOCK):
+def dense_products(left, right, left_id="id", right_id="id", vec="vec", block=BLOCK, num_ids=None):
     """Every dot product of a left row with a right row: ``left_id, right_id, dot``."""
     l, r = _meet(left.select(F.col(left_id).alias("_l"), F.col(vec).alias("_v")),
                  right.select(F.col(right_id).alias("_r"), F.col(vec).alias("_v")),
-                 "_l", "_r", block)
+                 "_l", "_r", block, num_ids)
 
     def multiply(a, b):
         if not len(a) or not len(b):
@@ -98,7 +110,7 @@ def dense_products(left, right, left_id="id", right_id="id", vec="vec", block=BL
 
 
 def nearest_products(left, right, left_id="id", right_id="id", vec="vec",
-                     exclude_self=False, block=BLOCK):
+                     exclude_self=False, block=BLOCK, num_ids=None):
     """For each left row the right row with the largest dot product (lowest id on ties).
 
     A left row with no candidate has null ``nearest_id`` and ``similarity``.
@@ -106,7 +118,7 @@ def nearest_products(left, right, left_id="id", right_id="id", vec="vec",
     ids = left.select(F.col(left_id).cast("long").alias("left_id"))
     l, r = _meet(left.select(F.col(left_id).alias("_l"), F.col(vec).alias("_v")),
                  right.select(F.col(right_id).alias("_r"), F.col(vec).alias("_v")),
-                 "_l", "_r", block)
+                 "_l", "_r", block, num_ids)
 
     def best(a, b):
         empty = pd.DataFrame({"left_id": [], "right_id": [], "dot": []}).astype(
@@ -148,8 +160,7 @@ def sparse_cross(left, right, row, feature, value, block=BLOCK, row_width=TOKEN_
 
     zero = F.lit(0).cast("long")
     l, r = cells(left), cells(right)
-    last_l = l.agg(F.coalesce(F.max("_b"), zero)).scalar()
-    last_r = r.agg(F.coalesce(F.max("_b"), zero)).scalar()
+    last_l, last_r = _last_block(l, "_b", "_x"), _last_block(r, "_b", "_x")
     l = l.withColumnRenamed("_b", "lb").withColumn("rb", F.explode(F.sequence(zero, last_r)))
     r = r.withColumnRenamed("_b", "rb").withColumn("lb", F.explode(F.sequence(zero, last_l)))
 

@@ -3,9 +3,13 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparselens.session import settle
+
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
 SALTS = 32
+# Below this estimated input size any single group fits one task.
+SMALL_INPUT = 64 << 20
 
 
 def estimated_bytes(df):
@@ -21,17 +25,23 @@ def fits_broadcast(df, max_rows=None):
     return estimated_bytes(df) <= BROADCAST_BYTES
 
 
-def lookup_join(big, small, on, how="inner", max_rows=None, salts=SALTS):
+def lookup_join(big, small, on, how="inner", max_rows=None, measure=False, salts=SALTS):
     """Join ``big`` with ``small`` without letting one hot key fill a task.
 
     ``max_rows`` is a bound the caller has proven for ``small`` (for example one row per
     id of a declared id range). Within the bound, or when the estimated size is small, the
-    small side is broadcast and the big side is not moved. Otherwise every row of the small
-    side is copied once per salt and the big side spreads each key over all salts.
+    small side is broadcast and the big side is not moved. ``measure`` is for a small side
+    that is an aggregate of a large input: its size cannot be estimated, so it is computed
+    and counted first. Otherwise every row of the small side is copied once per salt and
+    the big side spreads each key over all salts.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if fits_broadcast(small, max_rows):
         return big.join(F.broadcast(small), keys, how)
+    if measure:
+        small = settle(small)
+        if fits_broadcast(small, small.count()):
+            return big.join(F.broadcast(small), keys, how)
     return salted_join(big, small, keys, how, salts)
 
 

@@ -8,7 +8,11 @@ window, so the work per task is bounded by ``width`` rows plus (rows / width) ra
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparselens.plans.joins import SMALL_INPUT, estimated_bytes
+
 WIDTH = 1 << 16
+# Inputs beyond this estimate have so many ranges that their totals are summed in two steps.
+VERY_LARGE = 1 << 40
 
 
 def _range_of(order, width, shift=0):
@@ -17,7 +21,7 @@ def _range_of(order, width, shift=0):
     return F.expr(f"({value} - pmod({value}, {width}L)) div {width}L")
 
 
-def running_sum(df, order, values, by=(), width=WIDTH):
+def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
     """Inclusive running totals of ``values`` ({output: input}) in integer ``order``.
 
     ``order`` must be unique within ``by``. Exact for integer inputs.
@@ -26,11 +30,17 @@ def running_sum(df, order, values, by=(), width=WIDTH):
     ranged = df.withColumn("_range", _range_of(order, width))
     sums = ranged.groupBy(*by, "_range").agg(
         *[F.sum(src).alias(f"_sum_{out}") for out, src in values.items()])
-    before = (Window.partitionBy(*by).orderBy("_range")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*by, "_range", *[
-        F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}")
-        for out in values])
+    if estimated_bytes(df) > very_large:
+        upto = running_sum(sums, "_range", {f"_upto_{out}": f"_sum_{out}" for out in values},
+                           by, width, float("inf"))
+        offsets = upto.select(*by, "_range", *[
+            (F.col(f"_upto_{out}") - F.col(f"_sum_{out}")).alias(f"_before_{out}") for out in values])
+    else:
+        before = (Window.partitionBy(*by).orderBy("_range")
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        offsets = sums.select(*by, "_range", *[
+            F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}")
+            for out in values])
     inside = (Window.partitionBy(*by, "_range").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_local_{out}")
@@ -40,8 +50,14 @@ def running_sum(df, order, values, by=(), width=WIDTH):
         (F.col(f"_before_{out}") + F.col(f"_local_{out}")).alias(out) for out in values])
 
 
-def dense_index(df, order, by=(), name="idx", width=WIDTH):
-    """0-based position in integer ``order`` within ``by``, without a one-task sort."""
+def dense_index(df, order, by=(), name="idx", width=WIDTH, small_input=SMALL_INPUT):
+    """0-based position in unique integer ``order`` within ``by``, without a one-task sort.
+
+    Input estimated below ``small_input`` bytes is numbered by a plain window.
+    """
+    if estimated_bytes(df) <= small_input:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
+        return df.withColumn(name, (place - 1).cast("long"))
     numbered = running_sum(df.withColumn("_one", F.lit(1).cast("long")), order,
                            {name: "_one"}, by, width)
     return numbered.withColumn(name, F.col(name) - 1).drop("_one")

@@ -3,13 +3,11 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparselens.plans.joins import estimated_bytes, lookup_join
+from sparselens.plans.joins import SMALL_INPUT, estimated_bytes, lookup_join
 
 # Cells per doubling of magnitude. A float32 column has at most 2**23 values per doubling,
 # so a cell holds at most 32,768 distinct values however many rows a group has.
 CELLS_PER_OCTAVE = 256
-# Below this estimated input size any single group fits one task: use the built-in aggregate.
-SMALL_INPUT = 64 << 20
 _ZERO_GAP = 1100 * CELLS_PER_OCTAVE
 
 
@@ -52,7 +50,7 @@ def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None,
     targets = cells.where(wanted).select(*by, "_cell", "_start", "_total")
 
     bound = 2 * len(probs) * (max_groups if by else 1) if (max_groups or not by) else None
-    hit = lookup_join(rows, targets, [*by, "_cell"], max_rows=bound)
+    hit = lookup_join(rows, targets, [*by, "_cell"], max_rows=bound, measure=True)
     inside = (Window.partitionBy(*by, "_cell").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, 0))
     values = (hit.groupBy(*by, "_cell", "_start", "_total", "_v").agg(F.count("*").alias("_m"))

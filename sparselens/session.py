@@ -37,3 +37,15 @@ def shared_dir(spark):
         path = tempfile.mkdtemp(prefix="sparselens-")
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def settle(df):
+    """Compute a small result once and cut its lineage; it is kept in the shared folder.
+
+    Used for results that several later steps read (a selection, cut-offs per feature), so
+    that the scan behind them is not repeated and a lost executor only re-reads the file.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()

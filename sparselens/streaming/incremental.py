@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparselens import schema
-from sparselens.operators.activations import active_entries, strongest_per_sample
+from sparselens.operators.activations import active_entries, trimmed_entries
 from sparselens.operators.autoencoder import encode
 
 
@@ -26,17 +26,6 @@ def active_stream(samples, model=None, threshold=schema.ACTIVATION_THRESHOLD,
     return trimmed_entries(samples, threshold, top_k_features)
 
 
-def trimmed_entries(samples, threshold, k, vec="vec"):
-    """The k strongest values of each vector without a window: usable on a stream."""
-    entries = F.transform(F.col(vec), lambda v, i: F.struct(
-        (-v.cast("double")).alias("neg"), i.alias("feature_id")))
-    strongest = F.slice(F.array_sort(F.filter(
-        entries, lambda e: -e["neg"] > F.lit(float(threshold)))), 1, k)
-    keep = [c for c in samples.columns if c != vec]
-    return samples.select(*keep, F.explode(strongest).alias("_e")).select(
-        *keep, F.col("_e.feature_id").alias("feature_id"), (-F.col("_e.neg")).alias("activation_value"))
-
-
 def append_to(stream, path, checkpoint):
     """Append to parquet, all available input, then stop; a restart continues after the last
     committed file and writes nothing twice."""

@@ -807,7 +807,7 @@ SUMMARY = OFFLINE + SELECTED + f""", st AS ({DISTRIBUTION.format(t='active')}),
 
 
 def summary(spark, d):
-    labels = tx.most_frequent_token_labels(top_strings(spark, d, 25))
+    labels = tx.feature_labels(tx.label_features(top_strings(spark, d, 25)))
     return rp.batch_summary(fr.active(spark, d), selected(spark, d), labels)
 
 
