@@ -38,7 +38,7 @@ def trimmed_entries(samples, threshold=schema.ACTIVATION_THRESHOLD,
     strongest = F.slice(F.array_sort(F.filter(
         entries, lambda e: -e["neg"] > F.lit(float(threshold)))), 1, top_k_features)
     keep = [c for c in samples.columns if c != vec]
-    return samples.select(*keep, F.explode(strongest).alias("_e")).select(
+    return samples.select(*keep, F.explode_outer(strongest).alias("_e")).where(F.col("_e").isNotNull()).select(
         *keep, F.col("_e.feature_id").alias("feature_id"), (-F.col("_e.neg")).alias("activation_value"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from sparselens import schema
 from sparselens.functions import vectors as V
+from sparselens.plans.inputs import spread
 from sparselens.plans.joins import lookup_join
 
 # Weights up to this many numbers (512 MB as doubles) are shipped to every executor once.
@@ -84,10 +85,10 @@ def _slices(batches, units):
 
 
 def _trim(rows, units, values, k):
-    """Entries sorted by (row, value descending, unit), at most k of each row."""
+    """The k largest entries of each row, sorted by (row, value descending, unit)."""
     order = np.lexsort((units, -values, rows))
     rows, units, values = rows[order], units[order], values[order]
-    if k is not None and len(rows):
+    if len(rows):
         first = np.r_[True, rows[1:] != rows[:-1]]
         start = np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
         keep = np.arange(len(rows)) - start < k
@@ -119,15 +120,21 @@ def encode(vectors, model, threshold=0.0, top_k_features=None, vec="vec"):
         for batch in _slices(batches, len(ids)):
             x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
             f = _relu(x, w_enc, b_enc, b_dec)
-            rows, cols = np.nonzero(f > limit)
-            rows, units, values = _trim(rows, ids[cols], f[rows, cols], top_k_features)
+            keep_entry = f > limit
+            if top_k_features is not None and len(ids) > top_k_features:
+                cut = len(ids) - top_k_features
+                keep_entry &= f >= np.partition(f, cut, axis=1)[:, cut:cut + 1]
+            rows, cols = np.nonzero(keep_entry)
+            units, values = ids[cols], f[rows, cols]
+            if top_k_features is not None:
+                rows, units, values = _trim(rows, units, values, top_k_features)
             at = pa.array(rows)
             kept = [batch.column(batch.schema.get_field_index(n)).take(at) for n in names]
             columns = [c.cast(t) for c, t in zip(
                 [*kept, pa.array(units), pa.array(values)], arrow.types)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return vectors.mapInArrow(run, out)
+    return spread(vectors).mapInArrow(run, out)
 
 
 def encode_blocked(vectors, model, threshold=0.0, top_k_features=None, vec="vec",
@@ -180,7 +187,7 @@ def alive_units(vectors, model, threshold=schema.ACTIVATION_THRESHOLD, vec="vec"
             hit = ids[(f > limit).any(axis=0)].astype("int32")
             yield pa.RecordBatch.from_arrays([pa.array(hit)], schema=arrow)
 
-    return vectors.select(vec).mapInArrow(run, out).distinct()
+    return spread(vectors.select(vec)).mapInArrow(run, out).distinct()
 
 
 def forward(vectors, model, vec="vec"):
@@ -213,7 +220,7 @@ def forward(vectors, model, vec="vec"):
             yield pa.RecordBatch.from_arrays(
                 [c.cast(t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
-    return vectors.mapInArrow(run, out)
+    return spread(vectors).mapInArrow(run, out)
 
 
 _ENTRIES = T.ArrayType(T.StructType([T.StructField("feature_id", T.IntegerType()),
@@ -291,6 +298,32 @@ def normalise_rows(weights, column="w_dec"):
 
 # ---- losses -------------------------------------------------------------------------
 
+def model_errors(vectors, model, vec="vec"):
+    """``sample_errors`` in one pass over the vectors: only three numbers leave each batch row."""
+    if not model.fits_broadcast:
+        return sample_errors(forward(vectors, model, vec), vec)
+    keep = [f for f in vectors.schema.fields if f.name != vec]
+    names = [f.name for f in keep]
+    out = T.StructType(keep + [T.StructField("squared_error", T.DoubleType()),
+                               T.StructField("l1", T.DoubleType()), T.StructField("dim", T.IntegerType())])
+    arrow = to_arrow_schema(out)
+    shared = model.shared()
+
+    def run(batches):
+        ids, w_enc, w_dec, b_enc, b_dec = shared.value
+        for batch in _slices(batches, len(ids)):
+            x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
+            f = _relu(x, w_enc, b_enc, b_dec)
+            error = f @ w_dec + b_dec - x
+            kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
+            columns = [*kept, pa.array((error * error).sum(axis=1)), pa.array(f.sum(axis=1)),
+                       pa.array(np.full(len(x), x.shape[1]))]
+            yield pa.RecordBatch.from_arrays(
+                [c.cast(t) for c, t in zip(columns, arrow.types)], schema=arrow)
+
+    return spread(vectors).mapInArrow(run, out)
+
+
 def sample_errors(forwarded, vec="vec"):
     """Squared reconstruction error, absolute activation sum and vector length per sample."""
     absolute = F.aggregate("features", F.lit(0.0), lambda s, e: s + F.abs(e["activation_value"]))

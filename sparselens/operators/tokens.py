@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparselens import schema
 from sparselens.functions import text as X
+from sparselens.plans.inputs import spread
 from sparselens.plans.joins import lookup_join
 from sparselens.plans.ordered import WIDTH, dense_index, rank_by_hash, running_sum
 
@@ -20,9 +21,13 @@ def tokenise(docs, max_tokens=schema.MAX_TOKENS, text="text"):
 
 
 def token_rows(docs, max_tokens=schema.MAX_TOKENS, key="doc_id", text="text"):
-    """One row per real token: no padding is ever created."""
-    return tokenise(docs.select(key, text), max_tokens, text).select(
-        key, F.posexplode("words").alias("pos", "word"))
+    """One row per real token: no padding is ever created.
+
+    The outer form with a filter behind it keeps the optimizer from putting a second copy of
+    the word extraction in front of the explode.
+    """
+    return tokenise(spread(docs.select(key, text)), max_tokens, text).select(
+        key, F.posexplode_outer("words").alias("pos", "word")).where(F.col("word").isNotNull())
 
 
 def drop_padding(padded, ids="token_ids", mask="attention_mask"):

@@ -18,6 +18,11 @@ def estimated_bytes(df):
     return int(str(stats.sizeInBytes()))
 
 
+def is_small(df):
+    """True when the whole input is so small that any group of it fits one task."""
+    return estimated_bytes(df) <= SMALL_INPUT
+
+
 def fits_broadcast(df, max_rows=None):
     """True when a proven row bound or the optimizer's estimate allows a broadcast."""
     if max_rows is not None:
@@ -25,7 +30,7 @@ def fits_broadcast(df, max_rows=None):
     return estimated_bytes(df) <= BROADCAST_BYTES
 
 
-def lookup_join(big, small, on, how="inner", max_rows=None, measure=False, salts=SALTS):
+def lookup_join(big, small, on, how="inner", max_rows=None, measure=False, salts=None):
     """Join ``big`` with ``small`` without letting one hot key fill a task.
 
     ``max_rows`` is a bound the caller has proven for ``small`` (for example one row per
@@ -45,7 +50,8 @@ def lookup_join(big, small, on, how="inner", max_rows=None, measure=False, salts
     return salted_join(big, small, keys, how, salts)
 
 
-def salted_join(big, small, keys, how="inner", salts=SALTS):
+def salted_join(big, small, keys, how="inner", salts=None):
+    salts = salts or SALTS
     hashable = [f.name for f in big.schema.fields
                 if f.name not in keys and not isinstance(f.dataType, T.MapType)]
     salt = F.pmod(F.xxhash64(*hashable), F.lit(salts)) if hashable else F.lit(0).cast("long")

@@ -8,7 +8,7 @@ window, so the work per task is bounded by ``width`` rows plus (rows / width) ra
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparselens.plans.joins import SMALL_INPUT, estimated_bytes
+from sparselens.plans.joins import estimated_bytes, is_small
 
 WIDTH = 1 << 16
 # Inputs beyond this estimate have so many ranges that their totals are summed in two steps.
@@ -50,12 +50,12 @@ def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
         (F.col(f"_before_{out}") + F.col(f"_local_{out}")).alias(out) for out in values])
 
 
-def dense_index(df, order, by=(), name="idx", width=WIDTH, small_input=SMALL_INPUT):
+def dense_index(df, order, by=(), name="idx", width=WIDTH):
     """0-based position in unique integer ``order`` within ``by``, without a one-task sort.
 
-    Input estimated below ``small_input`` bytes is numbered by a plain window.
+    A small input is numbered by a plain window.
     """
-    if estimated_bytes(df) <= small_input:
+    if is_small(df):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
         return df.withColumn(name, (place - 1).cast("long"))
     numbered = running_sum(df.withColumn("_one", F.lit(1).cast("long")), order,

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparselens.plans.joins import SMALL_INPUT, estimated_bytes, lookup_join
+from sparselens.plans.joins import is_small, lookup_join
 
 # Cells per doubling of magnitude. A float32 column has at most 2**23 values per doubling,
 # so a cell holds at most 32,768 distinct values however many rows a group has.
@@ -18,18 +18,17 @@ def value_cell(value):
     return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
 
 
-def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None,
-                    small_input=SMALL_INPUT):
+def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None):
     """One row per group with the linearly interpolated quantiles in ``probs`` {name: p}.
 
-    Input estimated below ``small_input`` bytes goes through Spark's exact ``percentile``.
+    A small input goes through Spark's exact ``percentile``.
     Otherwise, first pass: rows per (group, cell), summed on the map side; the running count over the
     cells tells which cells hold the wanted ranks. Second pass: only rows in those cells are
     counted per distinct value and ranked. Nulls are ignored. ``max_groups`` is a proven
     bound on the number of groups, if there is one.
     """
     by = list(by)
-    if estimated_bytes(df) <= small_input:
+    if is_small(df):
         v = F.col(value).cast("double")
         count = [F.count(v).alias(count_name)] if count_name else []
         return df.where(v.isNotNull()).groupBy(*by).agg(

@@ -126,31 +126,32 @@ def most_active(spark, d):
 
 
 @register("A2_rank_selectivity", "li", f"""
-    SELECT feature_id, num_activations, {R('mean_activation')} AS mean_activation, unique_token_count,
-           {R('selectivity_score')} AS selectivity_score FROM ({SELECTIVITY.format(t='li')})""")
+    SELECT feature_id, num_activations, {R('mean_activation', 10)} AS mean_activation, unique_token_count,
+           {R('selectivity_score', 10)} AS selectivity_score FROM ({SELECTIVITY.format(t='li')})""")
 def rank_selectivity(spark, d):
-    return rounded(ft.rank_by_selectivity(fr.line_activations(spark, d)), "mean_activation", "selectivity_score")
+    return rounded(ft.rank_by_selectivity(fr.line_activations(spark, d)), "mean_activation", "selectivity_score", digits=10)
 
 
 @register("A3_feature_density", "li", f"""
-    SELECT feature_id, {R('count(*) / (SELECT count(*) FROM li)')} AS feature_density FROM li GROUP BY feature_id""")
+    SELECT feature_id, {R('count(*) / (SELECT count(*) FROM li)', 10)} AS feature_density FROM li GROUP BY feature_id""")
 def density(spark, d):
-    return rounded(ft.feature_density(fr.line_activations(spark, d)), "feature_density")
+    return rounded(ft.feature_density(fr.line_activations(spark, d)), "feature_density", digits=10)
 
 
-DISTRIBUTION = f"""
-    SELECT feature_id, {R('avg(activation_value)')} AS mean, {R('quantile_cont(activation_value, 0.5)')} AS median,
-           {R('stddev_samp(activation_value)')} AS std, {R('quantile_cont(activation_value, 0.25)')} AS p25,
-           {R('quantile_cont(activation_value, 0.75)')} AS p75, {R('max(activation_value)')} AS max,
-           count(*) AS count, count(DISTINCT token_id) AS unique_tokens FROM {{t}} GROUP BY feature_id"""
+def distribution_sql(t, digits=6):
+    return f"""
+    SELECT feature_id, {R('avg(activation_value)', digits)} AS mean, {R('quantile_cont(activation_value, 0.5)', digits)} AS median,
+           {R('stddev_samp(activation_value)', digits)} AS std, {R('quantile_cont(activation_value, 0.25)', digits)} AS p25,
+           {R('quantile_cont(activation_value, 0.75)', digits)} AS p75, {R('max(activation_value)', digits)} AS max,
+           count(*) AS count, count(DISTINCT token_id) AS unique_tokens FROM {t} GROUP BY feature_id"""
 
 
-@register("A4_activation_distribution", "li", DISTRIBUTION.format(t="li"))
+@register("A4_activation_distribution", "li", distribution_sql("li", 10))
 def distribution(spark, d):
-    return rounded(ft.distribution(fr.line_activations(spark, d)), "mean", "median", "std", "p25", "p75", "max")
+    return rounded(ft.distribution(fr.line_activations(spark, d)), "mean", "median", "std", "p25", "p75", "max", digits=10)
 
 
-@register("A5_activation_stats", "active", DISTRIBUTION.format(t="active") + f" HAVING feature_id = {PROBE}")
+@register("A5_activation_stats", "active", distribution_sql("active") + f" HAVING feature_id = {PROBE}")
 def stats(spark, d):
     rows = ft.for_feature(fr.active(spark, d), PROBE)
     return rounded(ft.distribution(rows), "mean", "median", "std", "p25", "p75", "max")
@@ -205,9 +206,9 @@ def top_co_occurring(spark, d):
 
 
 @register("A8_quantile", "li", f"""
-    SELECT chunk_id, {R('quantile_cont(activation_value, 0.9)')} AS threshold FROM li GROUP BY chunk_id""")
+    SELECT chunk_id, {R('quantile_cont(activation_value, 0.9)', 10)} AS threshold FROM li GROUP BY chunk_id""")
 def quantile(spark, d):
-    return rounded(ft.activation_quantile(fr.line_activations(spark, d), 0.9, ["chunk_id"]), "threshold")
+    return rounded(ft.activation_quantile(fr.line_activations(spark, d), 0.9, ["chunk_id"]), "threshold", digits=10)
 
 
 MAXIMA = ", m AS (SELECT feature_id, token_id, max(activation_value) AS a FROM {t} GROUP BY feature_id, token_id)"
@@ -468,13 +469,13 @@ def ranking_order(spark, d):
 
 
 @register("K5_strongest_rows", "li", f"""
-    SELECT feature_id, count(*) AS n, {R('sum(activation_value)')} AS total, {R('min(activation_value)')} AS lowest FROM (
+    SELECT feature_id, count(*) AS n, {R('sum(activation_value)', 10)} AS total, {R('min(activation_value)', 10)} AS lowest FROM (
         SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY activation_value DESC) AS rk FROM li) WHERE rk <= 200 GROUP BY feature_id""")
 def strongest_rows(spark, d):
     rows = ft.top_activations_per_feature(fr.line_activations(spark, d), 200, tie=("token_id", "chunk_id"))
     return rounded(rows.groupBy("feature_id").agg(
         F.count("*").alias("n"), F.sum("activation_value").alias("total"),
-        F.min("activation_value").alias("lowest")), "total", "lowest")
+        F.min("activation_value").alias("lowest")), "total", "lowest", digits=10)
 
 
 @register("K6_first_rows", "active", f"""
@@ -767,13 +768,19 @@ def smoothed(spark, d):
 
 
 @register("A17_loss_statistics", "losses", f"""
-    SELECT s.split, count(loss) AS num_batches, coalesce({R('avg(loss)')}, 'nan'::DOUBLE) AS mean, coalesce({R('stddev_pop(loss)')}, 'nan'::DOUBLE) AS std,
-           coalesce({R('min(loss)')}, 'nan'::DOUBLE) AS min, coalesce({R('max(loss)')}, 'nan'::DOUBLE) AS max,
-           coalesce({R('quantile_cont(loss, 0.5)')}, 'nan'::DOUBLE) AS median
+    SELECT s.split, count(loss) AS num_batches, coalesce({R('avg(loss)', 10)}, 'nan'::DOUBLE) AS mean, coalesce({R('stddev_pop(loss)', 10)}, 'nan'::DOUBLE) AS std,
+           coalesce({R('min(loss)', 10)}, 'nan'::DOUBLE) AS min, coalesce({R('max(loss)', 10)}, 'nan'::DOUBLE) AS max,
+           coalesce({R('quantile_cont(loss, 0.5)', 10)}, 'nan'::DOUBLE) AS median
     FROM (SELECT unnest(['train', 'val', 'test', 'held_out']) AS split) s LEFT JOIN losses l ON l.split = s.split GROUP BY s.split""")
 def loss_statistics(spark, d):
-    return rounded(rp.loss_statistics(fr.losses(spark, d), ("train", "val", "test", "held_out")),
-                   "mean", "std", "min", "max", "median")
+    return rounded(rp.loss_statistics(fr.losses(spark, d), ("train", "val", "test", "held_out"), 10),
+                   "mean", "std", "min", "max", "median", digits=10)
+
+
+@register("D16_rounded_statistics", "losses", f"""
+    SELECT split, round(min(loss), 4) + 0.0 AS min, round(max(loss), 4) + 0.0 AS max FROM losses GROUP BY split""")
+def rounded_statistics(spark, d):
+    return rounded(rp.loss_statistics(fr.losses(spark, d), decimals=4).select("split", "min", "max"), "min", "max", digits=4)
 
 
 @register("U5_row_counts", "trimmed", "SELECT (SELECT count(*) FROM active) AS count_a, (SELECT count(*) FROM trimmed) AS count_b")
@@ -801,7 +808,7 @@ def same_weights(spark, d):
 
 # ---- report ---------------------------------------------------------------------------
 
-SUMMARY = OFFLINE + SELECTED + f""", st AS ({DISTRIBUTION.format(t='active')}),
+SUMMARY = OFFLINE + SELECTED + f""", st AS ({distribution_sql('active')}),
     summary AS (SELECT s.feature_id, s."group", l.llm_label, st.mean AS mean_activation, st.median AS median_activation, st.std AS std_activation, st.unique_tokens
                 FROM selected s JOIN st ON st.feature_id = s.feature_id LEFT JOIN labelled l ON l.feature_id = s.feature_id)"""
 
@@ -860,7 +867,7 @@ def report_dead(spark, d):
 
 
 @register("X6_all_features_at_once", "active", f"""
-    , st AS ({DISTRIBUTION.format(t='active')}),
+    , st AS ({distribution_sql('active')}),
     best AS (SELECT feature_id, sample_id FROM (SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY activation_value DESC, sample_id) AS rk FROM active) WHERE rk = 1)
     SELECT st.feature_id, st.mean, st.median, st.count, b.sample_id AS best_sample FROM st JOIN best b ON b.feature_id = st.feature_id""")
 def all_features(spark, d):

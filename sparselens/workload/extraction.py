@@ -22,8 +22,13 @@ EVERY = 4                # step window of the resampling queries
 LAMBDA = 0.01
 
 
-def R(expr):
-    return f"(round({expr}, 6) + 0.0)"
+def R(expr, digits=6):
+    """Rounding for comparison, as in ``rounded``.
+
+    Six digits for measured numbers. Means of short decimals can end exactly on a half at the
+    seventh digit, where the order of a sum decides; those are compared with ten digits.
+    """
+    return f"(round({expr}, {digits}) + 0.0)"
 
 
 def fresh(spark, what):
@@ -271,8 +276,9 @@ def decode_sql(bias):
 
 
 def decoded(spark, d, tied, bias):
-    rows, model = fr.samples(spark, d), fr.model(spark, d, tied, bias)
-    act = ae.encode(rows, fr.model(spark, d), 0.07, 25)
+    rows, encoder = fr.samples(spark, d), fr.model(spark, d)
+    model = fr.model(spark, d, tied, bias) if tied else encoder
+    act = ae.encode(rows, encoder, 0.07, 25)
     out = ae.decode(act, rows, model)
     return rounded(out.select("sample_id", F.posexplode("reconstruction").alias("dim", "x_hat")), "x_hat")
 
@@ -324,7 +330,8 @@ def split_samples(spark, d):
 
 def errors(spark, d):
     """Error columns per sample with split and batch."""
-    found = ae.sample_errors(forwarded(spark, d))
+    found = ae.model_errors(fr.samples(spark, d), fr.model(spark, d, bias="mean")).select(
+        "sample_id", "squared_error", "l1", "dim")
     return found.join(split_samples(spark, d), "sample_id")
 
 
