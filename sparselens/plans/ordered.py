@@ -31,8 +31,9 @@ def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
     sums = ranged.groupBy(*by, "_range").agg(
         *[F.sum(src).alias(f"_sum_{out}") for out, src in values.items()])
     if estimated_bytes(df) > very_large:
-        upto = running_sum(sums, "_range", {f"_upto_{out}": f"_sum_{out}" for out in values},
-                           by, width, float("inf"))
+        upto = running_sum(sums.withColumnRenamed("_range", "_fine"), "_fine",
+                           {f"_upto_{out}": f"_sum_{out}" for out in values}, by, width,
+                           float("inf")).withColumnRenamed("_fine", "_range")
         offsets = upto.select(*by, "_range", *[
             (F.col(f"_upto_{out}") - F.col(f"_sum_{out}")).alias(f"_before_{out}") for out in values])
     else:
