@@ -277,9 +277,9 @@ def _decode_joined(activations, samples, model, sample):
         sample, F.coalesce(sums, bias).alias("reconstruction"))
 
 
-def vectors_for_tokens(tokens, table, token="token_id", vec="vec", max_rows=None):
+def vectors_for_tokens(tokens, table, token="token_id", vec="vec"):
     """The vector of each token by its id; tokens without one are dropped."""
-    return lookup_join(tokens, table.select(token, vec), token, max_rows=max_rows)
+    return lookup_join(tokens, table.select(token, vec), token)
 
 
 # ---- weights as a table -------------------------------------------------------------

@@ -41,7 +41,7 @@ def with_minimum_support(counts, min_activations, column="num_activations"):
 def for_listed_features(act, features, max_rows=None):
     """Rows of the features in a frame of ids."""
     return lookup_join(act, features.select("feature_id").distinct(), "feature_id",
-                       "left_semi", max_rows=max_rows)
+                       "left_semi", max_rows=max_rows, measure=True)
 
 
 # ---- ranking, density ---------------------------------------------------------------

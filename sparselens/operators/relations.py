@@ -26,7 +26,7 @@ def co_occurring_features(act, feature_id, percentile=0.75):
     """
     tokens = strong_tokens(act, feature_id, percentile)
     others = without_feature(act, feature_id).select("feature_id", "token_id")
-    shared = lookup_join(others, tokens, "token_id", "left_semi").distinct()
+    shared = lookup_join(others, tokens, "token_id", "left_semi", measure=True).distinct()
     return shared.groupBy("feature_id").agg(
         F.count("*").alias("co_occurrence_count"),
         F.array_sort(F.collect_list("token_id")).alias("token_ids"))
@@ -40,7 +40,8 @@ def co_occurrence_counts(act, probes=None, percentile=0.75, max_features=None):
     """
     rows = act.select("feature_id", "token_id", value().alias("activation_value"))
     own = rows if probes is None else lookup_join(
-        rows, probes.select("feature_id").distinct(), "feature_id", "left_semi", max_rows=max_features)
+        rows, probes.select("feature_id").distinct(), "feature_id", "left_semi",
+        max_rows=max_features, measure=True)
     cuts = activation_quantile(own, percentile, ["feature_id"], max_features)
     strong = (lookup_join(own, cuts, "feature_id", max_rows=max_features, measure=True)
               .where(F.col("activation_value") >= F.col("threshold"))
@@ -127,7 +128,8 @@ def similarity_matrix(act, features):
     ids = features.select(F.col("feature_id").cast("long").alias("feature_i")).distinct()
     all_ids = ids.agg(F.array_sort(F.collect_list("feature_i"))).scalar()
     grid = ids.withColumn("feature_j", F.explode(all_ids))
-    listed = lookup_join(act, features.select("feature_id").distinct(), "feature_id", "left_semi")
+    listed = lookup_join(act, features.select("feature_id").distinct(), "feature_id", "left_semi",
+                         measure=True)
     pairs = cosine_pairs(listed)
     both = pairs.unionByName(pairs.select(F.col("feature_j").alias("feature_i"),
                                           F.col("feature_i").alias("feature_j"), "cosine_similarity"))

@@ -14,8 +14,14 @@ FLAGS = ("pos", "ner", "is_stop", "is_punct", "dep", "subword_position",
 
 
 def with_token_text(rows, vocab, vocab_size=None):
-    """Add ``token_text``; rows with an unknown token id are dropped."""
-    return lookup_join(rows, vocab.select("token_id", "token_text"), "token_id", max_rows=vocab_size)
+    """Add ``token_text``; rows with an unknown token id are dropped.
+
+    With a declared ``vocab_size`` only ids below it are used, which bounds the broadcast.
+    """
+    texts = vocab.select("token_id", "token_text")
+    if vocab_size is not None:
+        texts = texts.where(F.col("token_id").between(0, vocab_size - 1))
+    return lookup_join(rows, texts, "token_id", max_rows=vocab_size)
 
 
 def with_context_text(rows, vocab, vocab_size=None, key=("sample_id", "feature_id")):
