@@ -33,10 +33,12 @@ def with_context_text(rows, vocab, vocab_size=None, key=("sample_id", "feature_i
     """
     if vocab_size is not None and vocab_size <= 1 << 20:
         texts = vocabulary_array(vocab, vocab_size)
-        named = rows.withColumn("_texts", texts)
+        # Used once, so the optimizer puts the subquery value into the lookup instead of
+        # carrying the whole array along with every row.
         known = F.filter(F.transform("context_token_ids", lambda i: F.get("_texts", i)),
                          lambda t: t.isNotNull())
-        return named.withColumn("context_text", F.when(F.size(known) > 0, known)).drop("_texts")
+        named = rows.withColumn("_texts", texts).withColumn("_known", known).drop("_texts")
+        return named.withColumn("context_text", F.when(F.size("_known") > 0, F.col("_known"))).drop("_known")
     key = list(key)
     parts = rows.select(*key, F.posexplode("context_token_ids").alias("_pos", "token_id"))
     named = lookup_join(parts, vocab.select("token_id", "token_text"), "token_id")

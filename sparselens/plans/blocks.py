@@ -27,38 +27,63 @@ def _last_block(cells, block, *others):
     return cells.agg(F.coalesce(top[block], F.lit(0).cast("long")).alias("_last")).scalar()
 
 
+def _cells(df, row, feature, value, block, row_width):
+    """Matrix entries with the number of their feature block and row block."""
+    cells = df.select(F.col(row).cast("long").alias("_row"), F.col(feature).cast("long").alias("_f"),
+                      F.col(value).cast("double").alias("_x"))
+    return cells.withColumn("_b", _block("_f", block)).withColumn("_rows", _block("_row", row_width))
+
+
+def _packed(cells, block, row_width):
+    """One row per (feature block, row block): positions inside the block and values as arrays.
+
+    A block is copied to all blocks it meets; packed, a copy costs 16 bytes per entry and
+    one row in all.
+    """
+    def pack(key, pdf):
+        b, rows = (int(k) for k in key)
+        return pd.DataFrame({
+            "_b": [b], "_rows": [rows],
+            "f": [(pdf["_f"].to_numpy() - b * block).astype("int32")],
+            "r": [(pdf["_row"].to_numpy() - rows * row_width).astype("int32")],
+            "x": [pdf["_x"].to_numpy()]})
+
+    return cells.groupBy("_b", "_rows").applyInPandas(
+        pack, "_b long, _rows long, f array<int>, r array<int>, x array<double>")
+
+
+def _dense(pdf, block, row_width):
+    """Values and 0/1 pattern of a packed block."""
+    m = np.zeros((row_width, block))
+    seen = np.zeros((row_width, block), dtype="float32")
+    for f, r, x in zip(pdf["f"], pdf["r"], pdf["x"]):
+        m[r, f] = x
+        seen[r, f] = 1.0
+    return m, seen
+
+
+def _used_rows(*frames):
+    """Width needed for the rows that occur."""
+    return 1 + max((int(np.max(r)) for pdf in frames for r in pdf["r"] if len(r)), default=0)
+
+
 def sparse_products(entries, row, feature, value, block=BLOCK, row_width=TOKEN_WIDTH):
     """Dot products of all feature pairs i <= j that share a row of a sparse matrix.
 
     ``entries`` has one value per (row, feature). Result: ``feature_i, feature_j, dot,
     shared`` with ``shared`` = number of common rows.
     """
-    cells = entries.select(F.col(row).cast("long").alias("_row"),
-                           F.col(feature).cast("long").alias("_f"),
-                           F.col(value).cast("double").alias("_x"))
-    cells = (cells.withColumn("_b", _block("_f", block))
-             .withColumn("_rows", _block("_row", row_width)))
-    top = _last_block(cells, "_b", "_x")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), top))
-    placed = (cells.withColumn("_other", other)
+    cells = _cells(entries, row, feature, value, block, row_width)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), _last_block(cells, "_b", "_x")))
+    placed = (_packed(cells, block, row_width).withColumn("_other", other)
               .withColumn("bi", F.least("_b", "_other"))
               .withColumn("bj", F.greatest("_b", "_other")))
 
     def multiply(key, pdf):
         bi, bj, _ = (int(k) for k in key)
-        rows, at = np.unique(pdf["_row"].to_numpy(), return_inverse=True)
-        f, x, b = (pdf[c].to_numpy() for c in ("_f", "_x", "_b"))
-
-        def dense(which):
-            pick = b == which
-            m = np.zeros((len(rows), block))
-            seen = np.zeros((len(rows), block))
-            m[at[pick], f[pick] - which * block] = x[pick]
-            seen[at[pick], f[pick] - which * block] = 1.0
-            return m, seen
-
-        left, left_seen = dense(bi)
-        right, right_seen = (left, left_seen) if bi == bj else dense(bj)
+        width = _used_rows(pdf)
+        left, left_seen = _dense(pdf[pdf["_b"] == bi], block, width)
+        right, right_seen = (left, left_seen) if bi == bj else _dense(pdf[pdf["_b"] == bj], block, width)
         dots, shared = left.T @ right, left_seen.T @ right_seen
         i, j = np.nonzero(shared)
         gi, gj = i + bi * block, j + bj * block
@@ -73,6 +98,35 @@ def sparse_products(entries, row, feature, value, block=BLOCK, row_width=TOKEN_W
         F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
 
 
+def sparse_cross(left, right, row, feature, value, block=BLOCK, row_width=TOKEN_WIDTH):
+    """Dot products of the features of two sparse matrices over their common rows.
+
+    Result: ``left_id, right_id, dot, shared`` for pairs with at least one common row.
+    """
+    zero = F.lit(0).cast("long")
+    l, r = (_cells(df, row, feature, value, block, row_width) for df in (left, right))
+    last_l, last_r = _last_block(l, "_b", "_x"), _last_block(r, "_b", "_x")
+    l = _packed(l, block, row_width).withColumnRenamed("_b", "lb").withColumn(
+        "rb", F.explode(F.sequence(zero, last_r)))
+    r = _packed(r, block, row_width).withColumnRenamed("_b", "rb").withColumn(
+        "lb", F.explode(F.sequence(zero, last_l)))
+
+    def multiply(key, a, b):
+        lb, rb, _ = (int(k) for k in key)
+        width = _used_rows(a, b)
+        (x, x_seen), (y, y_seen) = _dense(a, block, width), _dense(b, block, width)
+        dots, shared = x.T @ y, x_seen.T @ y_seen
+        i, j = np.nonzero(shared)
+        return pd.DataFrame({"left_id": i + lb * block, "right_id": j + rb * block,
+                             "dot": dots[i, j], "shared": shared[i, j].astype("int64")})
+
+    keys = ("lb", "rb", "_rows")
+    partial = l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
+        multiply, "left_id long, right_id long, dot double, shared long")
+    return partial.groupBy("left_id", "right_id").agg(
+        F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))
+
+
 def _meet(left, right, left_id, right_id, block, num_ids=None):
     """Copy each block of one side to every block of the other; keyed by (lb, rb).
 
@@ -146,47 +200,3 @@ def nearest_products(left, right, left_id="id", right_id="id", vec="vec",
 
 def _stack(vectors):
     return np.stack([np.asarray(v, dtype="float64") for v in vectors])
-
-
-def sparse_cross(left, right, row, feature, value, block=BLOCK, row_width=TOKEN_WIDTH):
-    """Dot products of the features of two sparse matrices over their common rows.
-
-    Result: ``left_id, right_id, dot, shared`` for pairs with at least one common row.
-    """
-    def cells(df):
-        out = df.select(F.col(row).cast("long").alias("_row"), F.col(feature).cast("long").alias("_f"),
-                        F.col(value).cast("double").alias("_x"))
-        return out.withColumn("_b", _block("_f", block)).withColumn("_rows", _block("_row", row_width))
-
-    zero = F.lit(0).cast("long")
-    l, r = cells(left), cells(right)
-    last_l, last_r = _last_block(l, "_b", "_x"), _last_block(r, "_b", "_x")
-    l = l.withColumnRenamed("_b", "lb").withColumn("rb", F.explode(F.sequence(zero, last_r)))
-    r = r.withColumnRenamed("_b", "rb").withColumn("lb", F.explode(F.sequence(zero, last_l)))
-
-    def multiply(key, a, b):
-        lb, rb, _ = (int(k) for k in key)
-        rows = np.intersect1d(a["_row"], b["_row"])
-        if not len(rows):
-            return pd.DataFrame({"left_id": [], "right_id": [], "dot": [], "shared": []}).astype(
-                {"left_id": "int64", "right_id": "int64", "dot": "float64", "shared": "int64"})
-
-        def dense(pdf, first):
-            pdf = pdf[pdf["_row"].isin(rows)]
-            at = np.searchsorted(rows, pdf["_row"].to_numpy())
-            m, seen = np.zeros((len(rows), block)), np.zeros((len(rows), block))
-            m[at, pdf["_f"].to_numpy() - first] = pdf["_x"].to_numpy()
-            seen[at, pdf["_f"].to_numpy() - first] = 1.0
-            return m, seen
-
-        (x, x_seen), (y, y_seen) = dense(a, lb * block), dense(b, rb * block)
-        dots, shared = x.T @ y, x_seen.T @ y_seen
-        i, j = np.nonzero(shared)
-        return pd.DataFrame({"left_id": i + lb * block, "right_id": j + rb * block,
-                             "dot": dots[i, j], "shared": shared[i, j].astype("int64")})
-
-    keys = ("lb", "rb", "_rows")
-    partial = l.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(
-        multiply, "left_id long, right_id long, dot double, shared long")
-    return partial.groupBy("left_id", "right_id").agg(
-        F.sum("dot").alias("dot"), F.sum("shared").alias("shared"))

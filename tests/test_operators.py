@@ -191,6 +191,16 @@ def test_unknown_tokens(spark, vocab_size):
     assert sorted(r.sample_id for r in kept) == [0, 2]
 
 
+def test_vocabulary_array_is_not_carried_by_the_rows(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 1, 0, [0, 1])], "sample_id long, feature_id int, token_id int, context_token_ids array<int>")
+    rows.write.parquet(str(tmp_path / "r"))
+    vocab = spark.createDataFrame([(0, "a"), (1, "b")], "token_id int, token_text string")
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    out = tx.with_context_text(tx.with_token_text(stored, vocab, 2), vocab, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_texts#" not in plan and list(out.first().context_text) == ["a", "b"]
+
+
 def test_context_string_and_joined_context_on_short_lists(spark):
     df = spark.createDataFrame([(["a", "b", "c"], "X"), (["a"], "X"), (None, "X")],
                                "context_text array<string>, token_text string")
