@@ -20,14 +20,14 @@ def tokenise(docs, max_tokens=schema.MAX_TOKENS, text="text"):
     return docs.withColumn("words", words if max_tokens is None else F.slice(words, 1, max_tokens))
 
 
-def token_rows(docs, max_tokens=schema.MAX_TOKENS, key="doc_id", text="text"):
-    """One row per real token: no padding is ever created.
+def token_rows(docs, max_tokens=schema.MAX_TOKENS, key="doc_id", text="text", keep=()):
+    """One row per real token: no padding is ever created. ``keep`` names columns to carry along.
 
     The outer form with a filter behind it keeps the optimizer from putting a second copy of
     the word extraction in front of the explode.
     """
-    return tokenise(spread(docs.select(key, text)), max_tokens, text).select(
-        key, F.posexplode_outer("words").alias("pos", "word")).where(F.col("word").isNotNull())
+    return tokenise(spread(docs.select(key, *keep, text)), max_tokens, text).select(
+        key, *keep, F.posexplode_outer("words").alias("pos", "word")).where(F.col("word").isNotNull())
 
 
 def drop_padding(padded, ids="token_ids", mask="attention_mask"):
@@ -57,9 +57,18 @@ def document_chunks(docs, key="doc_id", docs_per_chunk=schema.DOCS_PER_BATCH * s
     return ranked.withColumn("chunk_id", F.floor(F.col("doc_rank") / docs_per_chunk).cast("int"))
 
 
-def token_positions(tokens, by=("chunk_id",), doc="doc_rank", pos="pos", max_tokens=1 << 20):
-    """Unique, document-ordered sample id of each token."""
-    return tokens.withColumn("sample_id", F.col(doc).cast("long") * max_tokens + F.col(pos))
+def corpus_samples(docs, vocab=None, max_tokens=schema.MAX_TOKENS, key="doc_id", text="text",
+                   docs_per_chunk=schema.DOCS_PER_BATCH * schema.BATCHES_PER_CHUNK):
+    """Token rows of a corpus with unique, document-ordered sample ids and chunk numbers.
+
+    ``vocab=None`` builds the dictionary from the corpus itself.
+    """
+    ranked = document_chunks(docs.select(key, text), key, docs_per_chunk)
+    tokens = token_rows(ranked, max_tokens, key, text, ("doc_rank", "chunk_id"))
+    ids = assign_token_ids(tokens, build_vocabulary(tokens) if vocab is None else vocab)
+    longest = max_tokens or 1 << 31
+    return ids.select((F.col("doc_rank") * longest + F.col("pos")).alias("sample_id"), key, "pos",
+                      F.col("token_id").cast("int").alias("token_id"), "chunk_id")
 
 
 def progress(docs, key="doc_id", text="text", max_tokens=schema.MAX_TOKENS,

@@ -1,6 +1,7 @@
 """Queries on the activations table: ranking, distributions, relations, text, reports."""
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparselens.functions import text as X
@@ -10,6 +11,7 @@ from sparselens.operators import compare as cp
 from sparselens.operators import features as ft
 from sparselens.operators import relations as rel
 from sparselens.operators import report as rp
+from sparselens.operators import splits as sp
 from sparselens.operators import text as tx
 from sparselens.workload import frames as fr
 from sparselens.workload.extraction import R, word_rows
@@ -72,9 +74,9 @@ def support(spark, d):
     return ft.with_minimum_support(ft.most_active_features(fr.active(spark, d)), 150)
 
 
-@register("F7_index_range", "li", "SELECT feature_id, count(*) AS n FROM li WHERE feature_id >= 0 AND feature_id < 50 GROUP BY feature_id")
+@register("F7_index_range", "active", f"SELECT feature_id, count(*) AS n FROM active WHERE feature_id >= 0 AND feature_id < {fr.UNIVERSE} GROUP BY feature_id")
 def index_range(spark, d):
-    return ft.in_index_range(fr.line_activations(spark, d), 50).groupBy("feature_id").agg(F.count("*").alias("n"))
+    return ft.in_index_range(fr.active(spark, d), fr.UNIVERSE).groupBy("feature_id").agg(F.count("*").alias("n"))
 
 
 SELECTIVITY = """
@@ -457,15 +459,14 @@ def top_per_feature(spark, d):
         "feature_id", "rank", "token_id", "chunk_id", "activation_value"), "activation_value")
 
 
-@register("K2_ranking_order", "li", f"""
-    SELECT feature_id, row_number() OVER (ORDER BY num_activations DESC, feature_id) AS position FROM (
-        SELECT feature_id, count(*) AS num_activations FROM li GROUP BY feature_id) ORDER BY position LIMIT 50""")
+@register("K2_ranking_order", "li", """
+    SELECT feature_id, CAST(row_number() OVER (ORDER BY num_activations DESC, feature_id) AS INTEGER) AS position FROM (
+        SELECT feature_id, count(*) AS num_activations FROM li GROUP BY feature_id)""")
 def ranking_order(spark, d):
-    ordered = ft.most_active_features(fr.line_activations(spark, d)).limit(50)
-    ids = ordered.agg(F.array_sort(F.collect_list(F.struct(
-        (-F.col("num_activations")).alias("n"), "feature_id"))).alias("l"))
-    return ids.select(F.posexplode("l").alias("p", "e")).select(
-        F.col("e.feature_id").alias("feature_id"), (F.col("p") + 1).cast("long").alias("position"))
+    # one row per feature is left: a single window over the ranking is small
+    ranking = ft.most_active_features(fr.line_activations(spark, d))
+    return ranking.select("feature_id", F.row_number().over(
+        Window.orderBy(F.desc("num_activations"), "feature_id")).alias("position"))
 
 
 @register("K5_strongest_rows", "li", f"""
@@ -497,12 +498,12 @@ def natural_key(spark, d):
 
 
 @register("K7_natural_sort", "files", """
-    SELECT file, CAST(regexp_extract(file, '[0-9]+') AS BIGINT) AS number FROM files
-    ORDER BY lower(regexp_extract(file, '^[A-Za-z_]+')), number, lower(regexp_extract(file, '[a-z]*[.]pt$')), file LIMIT 25""")
+    SELECT file, CAST(regexp_extract(file, '[0-9]+') AS BIGINT) AS number, CAST(row_number() OVER (ORDER BY
+        lower(regexp_extract(file, '^[A-Za-z_]+')), CAST(regexp_extract(file, '[0-9]+') AS BIGINT),
+        lower(regexp_extract(file, '[a-z]*[.]pt$')), file) - 1 AS INTEGER) AS chunk_index FROM files""")
 def natural_sort(spark, d):
-    files = fr.chunk_files(spark, d)
-    return files.orderBy(X.natural_key(F.col("file")), "file").limit(25).select(
-        "file", F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("number"))
+    return sp.natural_order(fr.chunk_files(spark, d)).select(
+        "file", F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("number"), "chunk_index")
 
 
 # ---- text -----------------------------------------------------------------------------

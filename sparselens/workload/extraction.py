@@ -415,6 +415,35 @@ def extract(spark, d):
     return rounded(joined(out.withColumnRenamed("context_token_ids", "context"), "context"), "activation_value")
 
 
+@register("P13_corpus_to_activations", "enc", rf"""
+    , tokc AS (SELECT doc_id, unnest(range(len(ws))) AS pos, unnest(ws) AS word FROM (
+        SELECT doc_id, regexp_extract_all(text, ' ?[^ \t\n\r]+')[1:1024] AS ws FROM documents)),
+    dictc AS (SELECT word, row_number() OVER (ORDER BY md5(word || '|'), word) - 1 AS token_id FROM (SELECT DISTINCT word FROM tokc)),
+    ranked AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS chunk_id FROM documents),
+    ids AS (SELECT t.doc_id, t.pos, d.token_id, r.chunk_id FROM tokc t JOIN dictc d ON d.word = t.word JOIN ranked r ON r.doc_id = t.doc_id),
+    cx AS (SELECT token_id, coalesce(lag(token_id, 10) OVER w, first_value(token_id) OVER f) AS c0,
+                  coalesce(lead(token_id, 10) OVER w, last_value(token_id) OVER f) AS c20
+           FROM ids WINDOW w AS (PARTITION BY chunk_id ORDER BY doc_id, pos),
+                f AS (PARTITION BY chunk_id ORDER BY doc_id, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    top AS {TOP_ENC}
+    SELECT top.feature_id, count(*) AS n, {R('sum(top.activation_value)')} AS total, count(DISTINCT cx.token_id) AS tokens,
+           CAST(sum(c0) AS BIGINT) AS first_context, CAST(sum(c20) AS BIGINT) AS last_context
+    FROM cx JOIN top ON top.sample_id = cx.token_id % (SELECT count(*) FROM embeddings) GROUP BY top.feature_id""")
+def corpus_to_activations(spark, d):
+    """The whole way: text, tokens, ids, chunks, vectors, units, contexts."""
+    vectors = fr.read(spark, d, "embeddings")
+    tokens = tk.corpus_samples(fr.read(spark, d, "documents"))
+    tokens = tokens.withColumn("vec_id", F.col("token_id") % vectors.agg(F.count("*")).scalar())
+    samples = ae.vectors_for_tokens(tokens, vectors.withColumnRenamed("embedding", "vec"), "vec_id") \
+        .select("sample_id", "token_id", "chunk_id", "vec")
+    active = ae.encode(samples, fr.model(spark, d), 0.07, 25)
+    out = ac.activation_records(active, ac.context_windows(tokens))
+    context = F.col("context_token_ids")
+    return rounded(out.groupBy("feature_id").agg(
+        F.count("*").alias("n"), F.sum("activation_value").alias("total"), F.count_distinct("token_id").alias("tokens"),
+        F.sum(context[0]).alias("first_context"), F.sum(context[20]).alias("last_context")), "total")
+
+
 NATURAL = """lower(regexp_extract(file, '^[A-Za-z_]+')), CAST(regexp_extract(file, '[0-9]+') AS BIGINT),
              lower(regexp_extract(file, '[a-z]*[.]pt$')), file"""
 
