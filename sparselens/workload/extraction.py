@@ -11,7 +11,7 @@ from sparselens.operators import autoencoder as ae
 from sparselens.operators import resample as rs
 from sparselens.operators import splits as sp
 from sparselens.operators import tokens as tk
-from sparselens.plans.ordered import WIDTH
+from sparselens.plans.ordered import dense_index
 from sparselens.session import shared_dir
 from sparselens.sources import catalog as cat
 from sparselens.streaming import incremental as inc
@@ -322,7 +322,6 @@ def split_samples(spark, d):
     """Samples cut 80/10/10 in order, with their batch number inside the split."""
     rows = fr.read(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"))
     total = rows.agg(F.count("*")).scalar()
-    from sparselens.plans.ordered import dense_index
     placed = dense_index(rows, "sample_id", name="h").withColumn("tenth", F.floor(total / 10))
     part = F.when(F.col("h") < F.col("tenth") * 8, "train").when(F.col("h") < F.col("tenth") * 9, "val").otherwise("test")
     return sp.batch_index(placed.select("sample_id", part.alias("split")))
@@ -662,7 +661,7 @@ def batches(spark, d):
     SELECT chunk_id, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM (
         SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS chunk_id FROM documents) GROUP BY chunk_id""")
 def document_rank(spark, d):
-    return tk.document_chunks(fr.read(spark, d, "documents").select("doc_id"), width=WIDTH) \
+    return tk.document_chunks(fr.read(spark, d, "documents").select("doc_id")) \
         .groupBy(F.col("chunk_id").cast("long").alias("chunk_id")) \
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
