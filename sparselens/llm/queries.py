@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sparselens.llm import simhash
+from sparselens.llm import simhash, token_store
 from sparselens.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -11,6 +11,11 @@ def register(fn):
     return fn
 
 
+@register
+def op2_token_store(spark, sf_dir):
+    return token_store.store_tokens(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
