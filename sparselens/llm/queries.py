@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sparselens.llm import simhash, token_store
+from sparselens.llm import cotrain, mixing, simhash, token_store, toxicity
 from sparselens.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -19,3 +19,18 @@ def op2_token_store(spark, sf_dir):
 @register
 def op3_simhash_near_duplicates(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_toxicity_chain(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op6_quality_cotraining(spark, sf_dir):
+    return cotrain.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op9_mixing_rates(spark, sf_dir):
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

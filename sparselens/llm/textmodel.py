@@ -16,8 +16,8 @@ from sparselens.llm.common import staged, words_of
 
 BITS = 18
 GRAMS = (4, 6)
-#: Names of the numbers ``content_numbers`` and ``layout_numbers`` give.
-CONTENT = ("log_words", "distinct_share", "mean_length", "upper_share", "letter_share")
+#: Names of the numbers ``Words.numbers`` and ``layout_numbers`` give.
+CONTENT = ("log_words", "distinct_share", "mean_length", "upper_share", "letter_share", "echo_share", "distinct_power")
 LAYOUT = ("log_chars", "log_lines", "log_line_length", "line_repeats", "mark_share", "space_share", "digit_share")
 MARKS = r"[#*$%&|<>!=~_{}\[\]\\^]"
 
@@ -33,15 +33,13 @@ def pieces(unique):
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(raw))  # bytes up to the word's end
     mult, words, found = np.uint64(0x9E3779B97F4A7C15), [], []
     with np.errstate(over="ignore"):
-        for size in GRAMS:
-            if len(raw) < size:
-                continue
-            code = np.full(len(raw) - size + 1, size, np.uint64)
-            for i in range(size):
-                code = (code ^ raw[i:len(raw) - size + 1 + i]) * mult
-                code ^= code >> np.uint64(29)
-            inside = left[:len(code)] >= size
-            words.append(owner[:len(code)][inside]), found.append(code[inside])
+        code = np.zeros(len(raw), np.uint64)
+        for i in range(min(max(GRAMS), len(raw))):
+            code = (code[:len(raw) - i] ^ raw[i:]) * mult
+            code ^= code >> np.uint64(29)
+            if i + 1 in GRAMS:
+                inside = left[:len(code)] > i
+                words.append(owner[:len(code)][inside]), found.append(code[inside] * mult)
         power = np.cumprod(np.full(int(sizes.max(initial=1)), mult | np.uint64(1)))
         position = np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         whole = np.add.reduceat((raw + np.uint64(1)) * power[position], np.cumsum(sizes) - sizes) if n else raw
@@ -50,47 +48,63 @@ def pieces(unique):
     return np.concatenate(words), found
 
 
-def document_pieces(texts, wanted=None):
-    """Distinct (document, piece) of a batch; ``wanted`` (bool per piece) keeps only those."""
-    codes, unique, bounds = words_of(texts)
-    if not len(codes):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word, piece = pieces(unique)
-    if wanted is not None:
-        keep = wanted[piece]
-        word, piece = word[keep], piece[keep]
-    order = np.argsort(word, kind="stable")
-    piece, count = piece[order], np.bincount(word, minlength=len(unique))
-    start = np.cumsum(count) - count
-    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    has = count[codes] > 0
-    pairs = np.unique(doc[has] * np.int64(len(unique)) + codes[has])  # each word once a document
-    doc, code = pairs // len(unique), pairs % len(unique)
-    size = count[code]
-    at = np.repeat(start[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    both = np.unique(np.repeat(doc, size) << BITS | piece[at])
-    return both >> BITS, both & ((1 << BITS) - 1)
+def distinct(values):
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
+class Words:
+    """The words of a batch of texts, spelled as they are, and which document has which."""
+
+    def __init__(self, texts):
+        self.codes, self.unique, bounds = words_of(texts, lower=False)
+        self.counts, self.size = np.diff(bounds), max(1, len(self.unique))
+        doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        pairs = distinct(doc * np.int64(self.size) + self.codes)
+        self.doc, self.each, self.code = doc, pairs // self.size, pairs % self.size
+
+    def pieces(self, wanted=None):
+        """Distinct (document, piece); ``wanted`` (bool per piece) keeps only those."""
+        if not len(self.codes):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        word, piece = pieces(pc.ascii_lower(self.unique))
+        if wanted is not None:
+            keep = wanted[piece]
+            word, piece = word[keep], piece[keep]
+        piece = piece[np.argsort(word, kind="stable")]
+        count = np.bincount(word, minlength=len(self.unique))
+        start = np.cumsum(count) - count
+        has = count[self.code] > 0
+        doc, code = self.each[has], self.code[has]
+        size = count[code]
+        at = np.repeat(start[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        both = distinct(np.repeat(doc, size) << BITS | piece[at])
+        return both >> BITS, both & ((1 << BITS) - 1)
+
+    def numbers(self):
+        """One row of CONTENT numbers a document."""
+        n = self.counts
+        seen = np.bincount(self.each, minlength=len(n))
+        sums = []
+        for of in (pc.utf8_length(self.unique), *(pc.count_substring_regex(self.unique, r) for r in (r"\p{Lu}", r"\p{L}"))):
+            of = of.to_numpy(zero_copy_only=False).astype(np.float64)
+            sums.append(np.bincount(self.doc, of[self.codes], minlength=len(n)) if len(self.codes) else np.zeros(len(n)))
+        chars, upper, letters = sums
+        echo = np.flatnonzero((self.codes[1:] == self.codes[:-1]) & (self.doc[1:] == self.doc[:-1]))
+        echo = np.bincount(self.doc[echo], minlength=len(n))
+        return np.stack([np.log1p(n), share(seen, n), share(chars, n) / 10, share(upper, letters), share(letters, chars),
+                         share(echo, n), np.log1p(seen) / np.log(2 + n)], axis=1).astype(np.float32)
+
+
+def bent(numbers):
+    """The numbers and their squares: a linear model may then prefer a middle range."""
+    return np.hstack([numbers, numbers * numbers])
 
 
 def share(part, whole):
     return part / np.maximum(whole, 1)
 
 
-def content_numbers(texts):
-    """One row of numbers a document, from its words."""
-    texts = pc.fill_null(texts, "")
-    codes, unique, bounds = words_of(texts)
-    n = np.diff(bounds)
-    doc = np.repeat(np.arange(len(n)), n)
-    distinct = np.bincount(np.unique(doc * np.int64(max(1, len(unique))) + codes) // max(1, len(unique)), minlength=len(n))
-    length = pc.utf8_length(unique).to_numpy(zero_copy_only=False)
-    chars = np.bincount(doc, length[codes] if len(codes) else None, minlength=len(n))
-    upper = pc.count_substring_regex(texts, r"\p{Lu}").to_numpy(zero_copy_only=False)
-    letters = pc.count_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-    return np.stack([np.log1p(n), share(distinct, n), share(chars, n) / 10, share(upper, letters),
-                     share(letters, chars)], axis=1).astype(np.float32)
-
-
 def layout_numbers(texts):
     """One row of numbers a document, from its length, lines and marks, not from its words."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -151,7 +165,7 @@ def sums(frame, columns, make, name="sums"):
 def select_pieces(labelled, targets, per_target):
     """Pieces that tell the targets (0/1 columns ``_name``) apart, best chi-squared first."""
     def count(batch):
-        doc, piece = document_pieces(batch.column(0))
+        doc, piece = Words(batch.column(0)).pieces()
         rows = [np.bincount(piece, minlength=1 << BITS)]
         size = [batch.num_rows]
         for k in range(len(targets)):
@@ -173,13 +187,13 @@ def select_pieces(labelled, targets, per_target):
     return np.unique(np.concatenate(chosen))
 
 
-def piece_matrix(texts, chosen):
+def piece_matrix(words, chosen):
     """Float32 matrix documents x chosen pieces, 1 where the document has the piece."""
     wanted = np.zeros(1 << BITS, bool)
     wanted[chosen] = True
     place = np.cumsum(wanted) - 1
-    out = np.zeros((len(texts), len(chosen)), np.float32)
-    doc, piece = document_pieces(texts, wanted)
+    out = np.zeros((len(words.counts), len(chosen)), np.float32)
+    doc, piece = words.pieces(wanted)
     out[doc, place[piece]] = 1
     return out
 
@@ -191,7 +205,7 @@ def sigmoid(z):
 class Logistic:
     """Logistic regression on standardised columns, full batches of Adam steps."""
 
-    def fit(self, x, y, weight=None, penalty=1e-3, steps=250, rate=0.05, spread=True):
+    def fit(self, x, y, weight=None, penalty=3e-4, steps=200, rate=0.08, spread=True):
         x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
         self.mean = x.mean(axis=0) if spread else np.zeros(x.shape[1], np.float32)
         self.scale = x.std(axis=0) + 1e-3 if spread else np.ones(x.shape[1], np.float32)

@@ -19,8 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from sparselens.llm.textmodel import (CONTENT, Logistic, content_numbers, labelled_sample, piece_matrix, select_pieces,
-                                      sigmoid)
+from sparselens.llm.textmodel import CONTENT, Logistic, Words, labelled_sample, piece_matrix, select_pieces, sigmoid
 
 #: Words that make a labelled toxic document one of the category.
 CATEGORIES = {
@@ -28,7 +27,7 @@ CATEGORIES = {
     "contempt": ("pathetic", "worthless", "trash", "scum", "disgusting"),
 }
 CHAIN = (*CATEGORIES, "unlisted", "toxic")
-FOLDS, LIMIT, PIECES = 4, 12_000, 400
+FOLDS, LIMIT, PIECES = 4, 10_000, 250
 
 
 def category_columns():
@@ -67,7 +66,8 @@ class Chain:
 
 
 def features(texts, chosen):
-    return np.hstack([piece_matrix(texts, chosen), content_numbers(texts)])
+    words = Words(texts)
+    return np.hstack([piece_matrix(words, chosen), words.numbers()])
 
 
 def fit_chain(docs, labels, limit=LIMIT, per_category=PIECES):
@@ -79,8 +79,9 @@ def fit_chain(docs, labels, limit=LIMIT, per_category=PIECES):
 
     def run(batches):
         for batch in batches:
-            x = np.packbits(piece_matrix(batch.column(1), chosen).astype(bool), axis=1)
-            numbers = content_numbers(batch.column(1)).astype("<f4")
+            words = Words(batch.column(1))
+            x = np.packbits(piece_matrix(words, chosen).astype(bool), axis=1)
+            numbers = words.numbers().astype("<f4")
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in numbers], pa.binary()),
                  *batch.columns[2:]], ["_id", "x", "numbers", *targets])
