@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sparselens.llm import cotrain, mixing, simhash, token_store, toxicity
+from sparselens.llm import cotrain, decontam, mixing, simhash, token_store, toxicity
 from sparselens.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -11,6 +11,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_benchmark_leaks(spark, sf_dir):
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register
 def op2_token_store(spark, sf_dir):
     return token_store.store_tokens(table(spark, sf_dir, "documents"))
