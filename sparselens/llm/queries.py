@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sparselens.llm import cotrain, decontam, mixing, simhash, token_store, toxicity
+from sparselens.llm import cotrain, decontam, licenses, mixing, pii, quality_rules, simhash, token_store, toxicity
 from sparselens.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -31,11 +31,32 @@ def op4_toxicity_chain(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op5_adaptive_rules(spark, sf_dir):
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+SQL["op5_adaptive_rules"] = quality_rules.oracle()
+
+
 @register
 def op6_quality_cotraining(spark, sf_dir):
     return cotrain.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register
+def op7_personal_data(spark, sf_dir):
+    return pii.personal_data_digest(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_license_scan(spark, sf_dir):
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op8_license_scan"] = licenses.oracle()
+
+
 @register
 def op9_mixing_rates(spark, sf_dir):
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
