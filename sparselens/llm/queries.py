@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sparselens.llm import cotrain, decontam, licenses, mixing, pii, quality_rules, simhash, token_store, toxicity
+from sparselens.llm import cotrain, decontam, licenses, lm, mixing, pii, quality_rules, simhash, token_store, toxicity
 from sparselens.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -60,3 +60,8 @@ SQL["op8_license_scan"] = licenses.oracle()
 @register
 def op9_mixing_rates(spark, sf_dir):
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_gru_scores(spark, sf_dir):
+    return lm.score_documents(table(spark, sf_dir, "documents"))
