@@ -6,11 +6,11 @@ one segment of a linked pair differs by at most one bit. Each segment is indexed
 wildcard position (the segment without that bit): a linked pair shares at least one such
 variant. Equal variants meet in an equality join and pairs are verified on all 64 bits.
 
-Equal fingerprints are one node. A variant that two nodes share is a pair straight away. In a
-variant shared by more, every node is first compared with the heaviest one; only nodes that
-are still in different components afterwards are compared with each other, and the largest
-component of a variant is never compared with itself. So a group of near copies costs about
-its size, not its square, and no link between components is lost.
+Equal fingerprints are one node. Equal whole segments come first: every node is compared with
+a few centres of its segment, then nodes that are still in different components with each
+other. Only variants that still hold several components are looked at, and the largest
+component of a key is never compared with itself. So a group of near copies costs about its
+size, not its square, and no link between components is lost.
 
 Nulls: a null text counts as empty; texts without words have fingerprint zero and are linked
 like any other. Rows with a null ``doc_id`` get a fingerprint and the component of their
@@ -74,37 +74,75 @@ def near(a, b):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
 
-def link(nodes):
-    """(fp, label) of the fingerprints that link to another one; ``nodes`` is (fp, weight)."""
-    spread = nodes.select("fp", "weight", F.explode(variants(F.col("fp"))).alias("key"))
-    shared = staged(spread.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-                    .where("n > 1"), "shared")
-    pairs = shared.where("n = 2").where(near("a", "b")).select("a", "b")
-    members = staged(spread.join(shared.where("n > 2").select("key"), "key"), "members")
-    heaviest = staged(members.groupBy("key").agg(
-        F.max_by("fp", F.struct("weight", "fp")).alias("b")), "heaviest")
-    stars = members.join(heaviest, "key").where("fp <> b").where(near("fp", "b")).select(F.col("fp").alias("a"), "b")
-    first = components(pairs.union(stars))
-
-    # What the stars left apart: variants that still hold several components.
-    known = members.select("key", "fp").join(first.withColumnRenamed("node", "fp"), "fp", "left") \
-        .select("key", "fp", F.coalesce("label", "fp").alias("label"))
-    known = staged(known, "known")
-    sizes = known.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = staged(sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("n", "label")).alias("hub"))
-                     .where("labels > 1").select("key", "hub"), "open")
-    still = staged(known.join(largest, "key"), "open")
+def segments(column):
+    """The segments themselves, each with its place."""
+    low, keys = 0, []
+    for i, width in enumerate(SEGMENTS):
+        segment = F.shiftrightunsigned(column, low).bitwiseAND(F.lit((1 << width) - 1))
+        keys.append(segment.bitwiseOR(F.lit(i << max(SEGMENTS))))
+        low += width
+    return F.array(*keys)
+
+
+def merge(nodes, links):
+    """``nodes`` (fp, weight, label) after the labels that ``links`` (a, b) name became one."""
+    links = staged(links.where("a <> b").distinct(), "links")
+    if links.isEmpty():
+        return nodes
+    found = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return staged(nodes.join(staged(found, "merged"), "label", "left")
+                  .select("fp", "weight", F.coalesce("to", "label").alias("label")), "nodes")
+
+
+def unsettled(rows, wildcard=None):
+    """The rows (key, fp, weight, label) of keys that hold several labels and more than two
+    fingerprints, and the links of those that hold just two. ``wildcard`` is the bit a key leaves
+    out: where all rows agree in it, equal segments have linked them before."""
+    found = [F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"), F.min("label").alias("la"), F.max("label").alias("lb")]
+    if wildcard is not None:
+        found += [F.min(wildcard).alias("off"), F.max(wildcard).alias("on")]
+    shared = rows.groupBy("key").agg(*found).where("la < lb")
+    shared = staged(shared if wildcard is None else shared.where("off < on"), "shared")
+    pairs = shared.where("n = 2").where(near("a", "b")).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return staged(rows.join(shared.where("n > 2").select("key"), "key", "left_semi"), "members"), pairs
+
+
+def stars(rows, order):
+    """Links of every row to the first one of its key in ``order``."""
+    first = staged(rows.groupBy("key").agg(F.max_by(F.struct("fp", "label"), F.struct(order, "fp")).alias("c"))
+                   .select("key", F.col("c.fp").alias("b"), F.col("c.label").alias("lb")), "centres")
+    return (rows.join(first, "key").where("label <> lb").where(near("fp", "b"))
+            .select(F.col("label").alias("a"), F.col("lb").alias("b")))
+
+
+def bridges(rows):
+    """All links between labels that share a key; the most common label of a key is not
+    compared with itself."""
+    sizes = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    hubs = staged(sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("hub"), F.count("*").alias("labels"))
+                  .where("labels > 1"), "hubs")
+    still = staged(rows.join(hubs, "key"), "open")
     left = still.where("label <> hub").select("key", F.col("fp").alias("a"), F.col("label").alias("la"))
     right = still.select("key", F.col("fp").alias("b"), F.col("label").alias("lb"), "hub")
-    bridges = (left.join(right, "key").where("la <> lb and (lb = hub or la < lb)").where(near("a", "b"))
-               .select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    bridges = staged(bridges, "bridges")
-    if bridges.isEmpty():
-        return first.withColumnRenamed("node", "fp")
-    second = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    all_first = known.select("fp", "label").union(first.select(F.col("node").alias("fp"), "label")).distinct()
-    return (all_first.join(second, "label", "left")
-            .select("fp", F.coalesce("to", "label").alias("label")))
+    return (left.join(right, "key").where("la <> lb and (lb = hub or la < lb)").where(near("a", "b"))
+            .select(F.col("la").alias("a"), F.col("lb").alias("b")))
+
+
+def link(nodes):
+    """(fp, label) of all fingerprints; ``nodes`` is (fp, weight)."""
+    nodes = nodes.select("fp", "weight", F.col("fp").alias("label"))
+    keyed = lambda keys: nodes.select("fp", "weight", "label", F.explode(keys(F.col("fp"))).alias("key"))
+    # Equal segments first: they hold most links of a group, in three rows a fingerprint.
+    for order in (F.col("weight"), F.xxhash64("fp"), F.xxhash64("fp", F.lit(1))):
+        rows, pairs = unsettled(keyed(segments))
+        nodes = merge(nodes, pairs.union(stars(rows, order)))
+    rows, pairs = unsettled(keyed(segments))
+    nodes = merge(nodes, pairs.union(bridges(rows)))
+    # One-wildcard variants of what is still apart.
+    left_out = F.expr(f"shiftrightunsigned(fp, int(shiftright(key, {max(SEGMENTS)}))) & 1")
+    rows, pairs = unsettled(keyed(variants), left_out)
+    nodes = merge(nodes, pairs.union(bridges(rows)))
+    return nodes.select("fp", "label")
 
 
 def near_duplicates(docs):
@@ -112,8 +150,7 @@ def near_duplicates(docs):
     prints = staged(fingerprints(docs), "fingerprints")
     nodes = staged(prints.groupBy("fp").agg(F.count("*").alias("weight"), F.min("doc_id").alias("first")), "nodes")
     labels = staged(link(nodes.select("fp", "weight")), "labels")
-    named = nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    named = staged(named, "named")
+    named = staged(nodes.join(labels, "fp").select("fp", "first", "label"), "named")
     smallest = staged(named.groupBy("label").agg(F.min("first").alias("component_id")), "smallest")
     of_print = staged(named.join(smallest, "label").select("fp", "component_id"), "classes")
     return prints.join(of_print, "fp").select(
