@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparselens.session import shared_dir
 
@@ -30,6 +31,19 @@ def staged(df, name="stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def boxed(docs, **views):
+    """Whole rows as the struct ``row`` beside the columns a step needs, so that no name of the
+    documents clashes with a working column."""
+    names = [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+    return docs.select(F.struct(*names).alias("row"), *(c.alias(k) for k, c in views.items()))
+
+
+def box_schema(docs, **more):
+    """The schema of boxed rows and further columns."""
+    fields = [T.StructField("row", boxed(docs).schema["row"].dataType)]
+    return T.StructType(fields + [T.StructField(k, t) for k, t in more.items()])
+
+
 def join_small(big, small, keys, how="inner", spread_by=()):
     """Join with a small keyed table: broadcast once it is counted and short, else salted."""
     small = staged(small)
@@ -41,6 +55,18 @@ def join_small(big, small, keys, how="inner", spread_by=()):
             .join(small.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt"))
 
 
+def sliced(batches, column, most=4 << 20):
+    """The batches cut into slices of at most about ``most`` bytes of a text or binary column;
+    a longer value is a slice of its own."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total, lo = np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most, side="right")) - 1)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def words_of(texts, lower=True):
     """Words (runs without ASCII white space) of an Arrow string array.
 
@@ -50,8 +76,8 @@ def words_of(texts, lower=True):
     texts = pc.fill_null(texts, "")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string())
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    texts = (pc.ascii_lower(texts) if lower else texts).cast(pa.large_string())  # lowering goes wrong on a cast slice
+    lists = pc.ascii_split_whitespace(texts)
     encoded = lists.flatten().dictionary_encode()
     unique = encoded.dictionary
     codes = encoded.indices.to_numpy(zero_copy_only=False)

@@ -16,6 +16,8 @@ Nulls: a null text is an empty document that has only the end id. Rows with a nu
 come first. Repeated ids are kept, ordered by a hash of the text. An empty table gives a store without shards.
 """
 
+import functools
+import os
 import zlib
 
 import numpy as np
@@ -27,14 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from sparselens.llm.common import folder, staged
+from sparselens.llm.common import folder, sliced, staged
 
 MAGIC, CHUNK_BITS, BLOCK_WORDS, END_ID = b"DACTOK01", 8, 8, 2
 VOCABULARY = "word_bpe_49k.json"
 #: A shard is closed once it holds this many tokens; one document is never divided.
 SHARD_TOKENS = 1 << 21
 #: Spellings a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 MANIFEST = "path string, first_doc long, n_docs long, n_tokens long, part int, shard int"
 
@@ -43,42 +45,68 @@ class Encoder:
     """Whole texts to ids. White space ends every token of this vocabulary, so each distinct
     run between blanks and line ends is encoded once and its ids are put together by position."""
 
+    #: Stands between runs that are encoded as one text; a run that has it is encoded alone.
+    BETWEEN = "\x01"
+
     def __init__(self, path):
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self.code(self.BETWEEN)
+        if len(self.between) != 1:
+            raise ValueError("the vocabulary has no single id for the character between runs")
         self.forget()
 
+    def code(self, text):
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self):
-        self.seen, self.ids, self.starts = {}, [np.zeros(0, np.uint32)], [0]
+        self.seen, self.ids, self.starts = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def learn(self, runs):
-        new = [r for r in runs if r not in self.seen]
-        for lo in range(0, len(new), 10_000):
-            part = new[lo:lo + 10_000]
-            coded = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            for run, code in zip(part, coded):
-                self.seen[run] = len(self.starts) - 1
-                self.starts.append(self.starts[-1] + len(code.ids))
-            self.ids.append(np.array([i for c in coded for i in c.ids], np.uint32))
+        """Append the ids of new runs; a cut at each separator gives them back one by one."""
+        plain = [r for r in runs if self.BETWEEN not in r]
+        joined = (f" {self.BETWEEN} ".join(plain[lo:lo + 2_000]) + f" {self.BETWEEN}" for lo in range(0, len(plain), 2_000))
+        ids = [np.array(self.tokenizer.encode_batch_fast([j], add_special_tokens=False)[0].ids, np.uint32) for j in joined]
+        ids = np.concatenate([*ids, np.zeros(0, np.uint32)])
+        cut = ids == self.between[0]
+        ends = np.flatnonzero(cut) - np.arange(len(plain))
+        odd = [self.code(r) for r in runs if self.BETWEEN in r]
+        ids = np.concatenate([ids[~cut], *(np.array(o, np.uint32) for o in odd)])
+        ends = np.concatenate([ends, (ends[-1] if len(ends) else 0) + np.cumsum([len(o) for o in odd], dtype=np.int64)])
+        names = plain + [r for r in runs if self.BETWEEN in r]
+        self.seen.update(zip(names, range(len(self.starts) - 1, len(self.starts) - 1 + len(names))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + ends])
+        self.ids = np.concatenate([self.ids, ids])
 
     def encode(self, texts):
         """Ids of all texts in a row, and the number of ids of each text."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        texts = pc.fill_null(texts, "")
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are spelled in lower case only
+            texts = pc.ascii_lower(texts)
+        texts = texts.cast(pa.large_string())  # after lowering, which goes wrong on a cast slice
+        # a letter and the mark after it are never one token, so fewer spellings do
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z])([.,])", r"\1 \2")
         lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         if len(self.seen) > CACHE_WORDS:
             self.forget()
-        unique = coded.dictionary.to_pylist()
-        self.learn(unique)
-        self.ids, starts = [np.concatenate(self.ids)], np.array(self.starts)
-        place = np.fromiter((self.seen[u] for u in unique), np.int64, len(unique))
-        begin, size = starts[:-1][place], np.diff(starts)[place]
+        unique = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([u for u in unique if u not in self.seen])
+        place = np.fromiter(map(self.seen.__getitem__, unique), np.int64, len(unique))
+        begin, size = self.starts[:-1][place], np.diff(self.starts)[place]
         codes = coded.indices.to_numpy(zero_copy_only=False)
         sizes = size[codes]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = np.repeat(begin[codes] - ends[:-1], sizes) + np.arange(ends[-1])
-        return self.ids[0][flat], np.diff(ends[bounds])
+        flat = np.repeat((begin[codes] - ends[:-1]).astype(np.int32), sizes) + np.arange(ends[-1], dtype=np.int32)
+        return self.ids[flat], np.diff(ends[bounds])
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path):
+    """The encoder of this Python worker; what it has learnt serves the tasks that follow."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Encoder(path)
 
 
 def pack(ids, doc_ids, counts):
@@ -179,7 +207,7 @@ def write_store(docs, path, tokenizer_path, end_id=END_ID, shard_tokens=SHARD_TO
         import uuid
 
         from pyspark import TaskContext
-        encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        coder, part = encoder(tokenizer_path), TaskContext.get().partitionId()
         held, names, counts, shard = [], [], [], 0
 
         def close():
@@ -192,8 +220,8 @@ def write_store(docs, path, tokenizer_path, end_id=END_ID, shard_tokens=SHARD_TO
             held.clear(), names.clear(), counts.clear()
             return pa.RecordBatch.from_pylist([dict(zip(columns, row))], schema=shape)
 
-        for batch in batches:
-            ids, sizes = encoder.encode(batch.column(1))
+        for batch in sliced(batches, 1):
+            ids, sizes = coder.encode(batch.column(1))
             doc_ids = pc.fill_null(batch.column(0), -1 << 63).to_numpy(zero_copy_only=False)
             at = np.concatenate([[0], np.cumsum(sizes)])
             lo = 0
