@@ -19,14 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from sparselens.llm.common import staged
+from sparselens.llm.common import box_schema, boxed, sliced, staged
 from sparselens.llm.textmodel import Logistic, Words, bent, labelled_sample, layout_numbers, piece_matrix, select_pieces, sigmoid
 
 LIMIT, POOL, PIECES = 10_000, 6_000, 500
 ROUNDS, SHARED, CONFIDENT = 3, 500, 0.98
 #: Hashed places for a language and for a source.
 PLACES = 32
-META = ["lang", "source", "n_chars"]
 
 
 def page_matrix(texts, lang, source, n_chars):
@@ -80,10 +79,15 @@ class CoTrained:
         return *sigmoid(fixed).T.astype(np.float64), sigmoid(self.joint.logit(fixed)).astype(np.float64)
 
 
-def narrow(docs):
+def views(docs):
+    """The columns the classifier reads; those that are missing are null."""
     have = {c.lower() for c in docs.columns}
     kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "long"}
-    return docs.select(*((F.col(c) if c in have else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()))
+    return {c: (F.col(c) if c in have else F.lit(None)).cast(k) for c, k in kinds.items()}
+
+
+def narrow(docs):
+    return docs.select(*(c.alias(k) for k, c in views(docs).items()))
 
 
 def fit_quality(docs, labels, limit=LIMIT, pool=POOL):
@@ -98,7 +102,7 @@ def fit_quality(docs, labels, limit=LIMIT, pool=POOL):
     rows = labelled.select(*docs.columns, "_y").union(free.select(*docs.columns, "_y"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             words = Words(batch.column(1))
             parts = [np.packbits(piece_matrix(words, pieces).astype(bool), axis=1), words.numbers().astype("<f4"),
                      page_matrix(*batch.columns[1:5]).astype("<f4")]
@@ -128,7 +132,7 @@ def score_quality(docs, labels, threshold=0.5, limit=LIMIT, pool=POOL):
     sent = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, limit, pool))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             p = score_batch(sent.value, *batch.columns[1:5])
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, p), pa.array(p[2] >= threshold)],
                                              ["doc_id", "p_text", "p_page", "p_quality", "kept"])
@@ -139,14 +143,10 @@ def score_quality(docs, labels, threshold=0.5, limit=LIMIT, pool=POOL):
 def keep_quality(docs, labels, threshold=0.5, limit=LIMIT, pool=POOL):
     """The documents that score at least ``threshold``, all columns as they are; nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, limit, pool))
-    names = [f"_v{i}" for i in range(5)]
 
     def run(batches):
-        for batch in batches:
-            n = batch.num_columns - 5
-            p = score_batch(sent.value, *batch.columns[n + 1:])
-            yield pa.RecordBatch.from_arrays(batch.columns[:n], batch.schema.names[:n]).filter(pa.array(p[2] >= threshold))
-
-    view = dict(zip(names, (F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"),
-                            F.col("source").cast("string"), F.col("n_chars").cast("long"))))
-    return docs.withColumns(view).mapInArrow(run, docs.schema)
+        for batch in sliced(batches, 1):
+            p = score_batch(sent.value, *batch.columns[1:])
+            yield batch.select([0]).filter(pa.array(p[2] >= threshold))
+
+    return boxed(docs, **views(docs)).drop("doc_id").mapInArrow(run, box_schema(docs)).select("row.*")

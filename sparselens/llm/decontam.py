@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from sparselens.llm.common import staged, words_of
+from sparselens.llm.common import boxed, sliced, staged, words_of
 from sparselens.llm.textmodel import distinct, sums
 
 PASSAGE, RANK, OVERSAMPLE, SEED = 32, 40, 8, 20
@@ -46,7 +46,7 @@ def hashed_words(texts):
     codes, unique, bounds = words_of(texts, lower=False)
     plain = pc.utf8_lower(pc.utf8_trim(unique, characters=EDGES))
     gone = pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False)
-    hashes = pd.util.hash_array(np.array(plain.to_pylist(), object), categorize=False) if len(plain) else np.zeros(0, np.uint64)
+    hashes = pd.util.hash_array(plain.to_numpy(zero_copy_only=False), categorize=False)
     if gone.any():
         keep = ~gone[codes]
         bounds, codes = np.concatenate([[0], np.cumsum(keep)])[bounds], codes[keep]
@@ -99,7 +99,7 @@ def unpacked(batch, kind, column=0):
 def coded_table(docs, vocabulary):
     """(doc_id, words): every document's word codes, staged."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             codes, bounds = vocabulary.code(batch.column(1))
             raw, at = codes.tobytes(), (bounds * codes.itemsize).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([raw[s:e] for s, e in zip(at, at[1:])], pa.binary())],
@@ -285,7 +285,7 @@ def find_leaks(docs, benchmark):
         sent = spark.sparkContext.broadcast(searcher)
 
         def run(batches, sent=sent):
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 hits = sent.value.hits(*unpacked(batch, sent.value.vocabulary.kind, 1))
                 if hits:
                     doc, *rest = zip(*hits)
@@ -299,16 +299,16 @@ def find_leaks(docs, benchmark):
 
 def drop_leaks(docs, benchmark):
     """The documents without a benchmark item, all columns as they are; nothing is shuffled."""
-    clean = docs
+    clean = boxed(docs)
     for searcher, _ in searchers(docs, benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(searcher)
 
         def run(batches, sent=sent):
-            for batch in batches:
-                bad = {h[0] for h in sent.value.hits(*sent.value.vocabulary.code(batch.columns[-1]))}
+            for batch in sliced(batches, 1):
+                bad = {h[0] for h in sent.value.hits(*sent.value.vocabulary.code(batch.column(1)))}
                 keep = np.ones(batch.num_rows, bool)
                 keep[list(bad)] = False
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], batch.schema.names[:-1]).filter(pa.array(keep))
+                yield batch.select([0]).filter(pa.array(keep))
 
-        clean = clean.withColumn("_t", F.col("text").cast("string")).mapInArrow(run, docs.schema)
-    return clean
+        clean = clean.select("row", F.col("row.text").cast("string").alias("text")).mapInArrow(run, clean.schema)
+    return clean.select("row.*")

@@ -18,12 +18,14 @@ of copies. An empty table gives an empty result.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparselens.llm.common import staged
+from sparselens.llm.common import box_schema, boxed, sliced, staged
 from sparselens.llm.textmodel import Logistic, Words, labelled_sample, piece_matrix, select_pieces, sigmoid
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.93, "low": 0.04, "toxic": 0.03}
+NUMBERS = ["words", *(f"p_{d}" for d in DOMAINS)]
 LIMIT, PIECES, MAX_RATE, STEPS, NEAR = 8_000, 150, 2.0, 40, 1e-3
 
 
@@ -48,7 +50,7 @@ def fit_domains(docs, labels, limit=LIMIT):
     pieces = select_pieces(rows, targets, PIECES)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             words = Words(batch.column(1))
             x = np.packbits(piece_matrix(words, pieces).astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays(
@@ -64,20 +66,17 @@ def fit_domains(docs, labels, limit=LIMIT):
 
 
 def with_posteriors(docs, labels, limit=LIMIT):
-    """``docs`` and the columns _words and _p_<domain>; one Arrow pass, nothing is shuffled."""
+    """Boxed rows with the columns words and p_<domain>; one Arrow pass, nothing is shuffled."""
     sent = docs.sparkSession.sparkContext.broadcast(fit_domains(docs, labels, limit))
-    extra = ["_words", *(f"_p_{d}" for d in DOMAINS)]
 
     def run(batches):
-        for batch in batches:
-            words = Words(batch.columns[-1])
+        for batch in sliced(batches, 1):
+            words = Words(batch.column(1))
             p = np.full((batch.num_rows, len(DOMAINS)), 1 / len(DOMAINS)) if sent.value is None else sent.value.predict(words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(words.counts.astype(np.int64)), *map(pa.array, p.T)],
-                                             [*batch.schema.names[:-1], *extra])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts.astype(np.int64)), *map(pa.array, p.T)], ["row", *NUMBERS])
 
-    fields = ", ".join(f"`{c.replace('`', '``')}` {k}" for c, k in docs.dtypes)
-    return docs.withColumn("_t", F.col("text").cast("string")).mapInArrow(
-        run, f"{fields}, _words long, " + ", ".join(f"_p_{d} double" for d in DOMAINS))
+    shape = box_schema(docs, words=T.LongType(), **{c: T.DoubleType() for c in NUMBERS[1:]})
+    return boxed(docs, text=F.col("text").cast("string")).mapInArrow(run, shape)
 
 
 def rate_of(a, steps, max_rate):
@@ -90,11 +89,11 @@ def rate_of(a, steps, max_rate):
 
 
 def fit_rates(scored, targets, max_rate=MAX_RATE, most=STEPS, near=NEAR):
-    """(scale of each domain, steps): what ``rate_of`` needs; ``scored`` has _words and _p_<domain>."""
-    k, columns = len(DOMAINS), ["_words", *(f"_p_{d}" for d in DOMAINS)]
-    tokens = [F.col("_words") * F.col(c) for c in columns[1:]]
+    """(scale of each domain, steps): what ``rate_of`` needs; ``scored`` has words and p_<domain>."""
+    k = len(DOMAINS)
+    tokens = [F.col("words") * F.col(c) for c in NUMBERS[1:]]
     sums = [F.sum(x * y) for x in tokens for y in tokens]
-    first = scored.agg(F.sum("_words").alias("n"), F.array(*(F.coalesce(s, F.lit(0.0)) for s in sums)).alias("s")).first()
+    first = scored.agg(F.sum("words").alias("n"), F.array(*(F.coalesce(s, F.lit(0.0)) for s in sums)).alias("s")).first()
     if not first["n"]:
         return np.ones(k), []
     square = np.array(first["s"]).reshape(k, k)
@@ -110,7 +109,7 @@ def fit_rates(scored, targets, max_rate=MAX_RATE, most=STEPS, near=NEAR):
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*[[x] for x in a.T @ rate], *[[x] for x in a.T @ ahead])], names)
 
         names = [f"t{i}" for i in range(2 * k)]
-        got = scored.select(*columns).mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()
+        got = scored.select(*NUMBERS).mapInArrow(run, ", ".join(f"{n} double" for n in names)).agg(*(F.sum(n) for n in names)).first()
         return np.array(got[:k]) - goal, np.array(got[k:]) - goal
 
     steps, pace = [], 1.0
@@ -129,34 +128,31 @@ def fit_rates(scored, targets, max_rate=MAX_RATE, most=STEPS, near=NEAR):
 
 
 def mixed(scored, targets=None, max_rate=MAX_RATE):
-    """``scored`` with the columns _rate and _copies."""
+    """``scored`` with the columns rate and copies."""
     scale, steps = fit_rates(scored, targets or TARGETS, max_rate)
 
     def run(batches):
         for batch in batches:
-            n = batch.num_columns - 1
-            at = [batch.schema.get_field_index(c) for c in ("_words", *(f"_p_{d}" for d in DOMAINS))]
-            a = batch.column(at[0]).to_numpy()[:, None] * np.stack([batch.column(i).to_numpy() for i in at[1:]], axis=1) / scale
-            rate, draw = rate_of(a, steps, max_rate)[0], batch.column(n).to_numpy()
+            n, *p, draw = (c.to_numpy() for c in batch.columns[1:])
+            rate = rate_of(n[:, None] * np.stack(p, axis=1) / scale, steps, max_rate)[0]
             copies = np.floor(rate) + (draw < rate - np.floor(rate))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(rate), pa.array(copies.astype(np.int64))],
-                                             [*batch.schema.names[:n], "_rate", "_copies"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rate), pa.array(copies.astype(np.int64))],
+                                             ["row", *NUMBERS, "rate", "copies"])
 
-    fields = ", ".join(f"`{c.replace('`', '``')}` {k}" for c, k in scored.dtypes)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return scored.withColumn("_draw", draw).mapInArrow(run, f"{fields}, _rate double, _copies long")
+    draw = F.pmod(F.xxhash64("row.doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    shape = T.StructType([*scored.schema.fields, T.StructField("rate", T.DoubleType()), T.StructField("copies", T.LongType())])
+    return scored.select("row", *NUMBERS, draw.alias("draw")).mapInArrow(run, shape)
 
 
 def mixing_rates(docs, labels, targets=None, limit=LIMIT):
     """(doc_id, n_words, p_<domain> ..., rate, copies) for every document."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    scored = staged(with_posteriors(docs, labels, limit).drop("text"), "posteriors")
-    return mixed(scored, targets).select("doc_id", F.col("_words").alias("n_words"), *(F.col(f"_p_{d}").alias(f"p_{d}") for d in DOMAINS),
-                                         F.col("_rate").alias("rate"), F.col("_copies").alias("copies"))
+    scored = staged(with_posteriors(docs, labels, limit).withColumn("row", F.struct("row.doc_id")), "posteriors")
+    return mixed(scored, targets).select("row.doc_id", F.col("words").alias("n_words"), *NUMBERS[1:], "rate", "copies")
 
 
 def mix(docs, labels, targets=None, limit=LIMIT):
     """The documents, each as often as its rate came out in whole copies."""
     scored = staged(with_posteriors(docs, labels, limit), "posteriors")
-    return (mixed(scored, targets).withColumn("_copies", F.explode(F.expr("array_repeat(0, int(_copies))")))
-            .select(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)))
+    times = F.explode(F.expr("array_repeat(0, int(copies))"))
+    return mixed(scored, targets).select("row", times.alias("copy")).select("row.*")

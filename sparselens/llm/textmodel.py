@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from sparselens.llm.common import staged, words_of
+from sparselens.llm.common import sliced, staged, words_of
 
 BITS = 18
 GRAMS = (4, 6)
@@ -141,7 +141,7 @@ def sums(frame, columns, make, name="sums"):
 
     def run(batches):
         total = None
-        for batch in batches:
+        for batch in sliced(batches, 0):
             got = make(batch)
             total = got if total is None else total + got
         if total is not None:
@@ -205,7 +205,7 @@ def sigmoid(z):
 class Logistic:
     """Logistic regression on standardised columns, full batches of Adam steps."""
 
-    def fit(self, x, y, weight=None, penalty=3e-4, steps=200, rate=0.08, spread=True):
+    def fit(self, x, y, weight=None, penalty=3e-3, steps=200, rate=0.08, spread=True):
         x, y = np.asarray(x, np.float32), np.asarray(y, np.float32)
         self.mean = x.mean(axis=0) if spread else np.zeros(x.shape[1], np.float32)
         self.scale = x.std(axis=0) + 1e-3 if spread else np.ones(x.shape[1], np.float32)
