@@ -8,11 +8,11 @@ from sparselens.plans.topk import top_k
 
 
 def active_entries(samples, threshold=schema.ACTIVATION_THRESHOLD, vec="vec"):
-    """One row per (sample, unit) whose value is strictly above the threshold."""
+    """One row per (sample, unit) whose value is strictly above the threshold; NaN never is."""
     keep = [c for c in samples.columns if c != vec]
     return (samples.select(*keep, F.posexplode(vec).alias("feature_id", "activation_value"))
             .withColumn("activation_value", F.col("activation_value").cast("double"))
-            .where(F.col("activation_value") > F.lit(float(threshold))))
+            .where(~F.isnan("activation_value") & (F.col("activation_value") > F.lit(float(threshold)))))
 
 
 def strongest_per_sample(active, top_k_features=schema.FEATURES_PER_SAMPLE,
@@ -36,7 +36,7 @@ def trimmed_entries(samples, threshold=schema.ACTIVATION_THRESHOLD,
     entries = F.transform(F.col(vec), lambda v, i: F.struct(
         (-v.cast("double")).alias("neg"), i.alias("feature_id")))
     strongest = F.slice(F.array_sort(F.filter(
-        entries, lambda e: -e["neg"] > F.lit(float(threshold)))), 1, top_k_features)
+        entries, lambda e: ~F.isnan(e["neg"]) & (-e["neg"] > F.lit(float(threshold))))), 1, top_k_features)
     keep = [c for c in samples.columns if c != vec]
     return samples.select(*keep, F.explode_outer(strongest).alias("_e")).where(F.col("_e").isNotNull()).select(
         *keep, F.col("_e.feature_id").alias("feature_id"), (-F.col("_e.neg")).alias("activation_value"))

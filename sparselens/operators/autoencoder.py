@@ -148,9 +148,9 @@ def encode_blocked(vectors, model, threshold=0.0, top_k_features=None, vec="vec"
     units = model.weights.select(F.col("feature_id").cast("int").alias("feature_id"), "w_enc", "b_enc") \
         .withColumn("ub", _block("feature_id", units_per_block))
     rows = vectors.withColumn("sb", _block(sample, samples_per_block))
-    last_u, last_s = units.agg(F.max("ub")).scalar(), rows.agg(F.max("sb")).scalar()
-    zero = F.lit(0).cast("long")
-    units = units.withColumn("sb", F.explode(F.sequence(zero, last_s)))
+    last_u, zero = units.agg(F.max("ub")).scalar(), F.lit(0).cast("long")
+    first_s, last_s = (rows.agg(f("sb")).scalar() for f in (F.min, F.max))  # ids may be below zero
+    units = units.withColumn("sb", F.explode(F.sequence(first_s, last_s)))
     rows = rows.withColumn("ub", F.explode(F.sequence(zero, last_u)))
     bias, limit = model.bias(), float(threshold)
     out = T.StructType(keep + [T.StructField("feature_id", T.IntegerType()),
@@ -234,7 +234,10 @@ def _lists(matrix):
 
 
 def decode(activations, samples, model, sample="sample_id"):
-    """``f . W_dec + b_dec`` per sample; a sample without active units gives ``b_dec``."""
+    """``f . W_dec + b_dec`` per sample; a sample without active units gives ``b_dec``.
+
+    Units the weights don't have add nothing, repeated rows of a unit add up.
+    """
     entries = activations.groupBy(sample).agg(F.collect_list(
         F.struct(F.col("feature_id").cast("int").alias("feature_id"),
                  F.col("activation_value").cast("double").alias("activation_value"))).alias("features"))
@@ -254,9 +257,11 @@ def decode(activations, samples, model, sample="sample_id"):
             entry = column.flatten()
             at = np.repeat(np.arange(len(column)),
                            column.value_lengths().to_numpy(zero_copy_only=False))
-            unit = np.searchsorted(ids, entry.field(0).to_numpy(zero_copy_only=False))
+            wanted = entry.field(0).to_numpy(zero_copy_only=False)
+            unit = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
+            known = ids[unit] == wanted if len(ids) else np.zeros(len(wanted), bool)
             f = np.zeros((len(column), len(ids)))
-            f[at, unit] = entry.field(1).to_numpy(zero_copy_only=False)
+            np.add.at(f, (at[known], unit[known]), entry.field(1).to_numpy(zero_copy_only=False)[known])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), _lists(f @ w_dec + b_dec).cast(arrow.types[1])], schema=arrow)
 

@@ -24,12 +24,13 @@ def with_token_text(rows, vocab, vocab_size=None):
     return lookup_join(rows, texts, "token_id", max_rows=vocab_size)
 
 
-def with_context_text(rows, vocab, vocab_size=None, key=("sample_id", "feature_id")):
+def with_context_text(rows, vocab, vocab_size=None):
     """Add ``context_text``, the context ids as texts in order.
 
     Unknown ids are left out (later ones move up); a context without any known id gives NULL.
     A vocabulary of declared size is turned into one array and looked up by position, so the
-    rows are not moved. A vocabulary of unknown size is joined; ``key`` must be unique then.
+    rows are not moved. A vocabulary of unknown size is joined with the distinct contexts. Of
+    repeated ids the lowest text counts.
     """
     if vocab_size is not None and vocab_size <= 1 << 20:
         texts = vocabulary_array(vocab, vocab_size)
@@ -39,19 +40,20 @@ def with_context_text(rows, vocab, vocab_size=None, key=("sample_id", "feature_i
                          lambda t: t.isNotNull())
         named = rows.withColumn("_texts", texts).withColumn("_known", known).drop("_texts")
         return named.withColumn("context_text", F.when(F.size("_known") > 0, F.col("_known"))).drop("_known")
-    key = list(key)
-    parts = rows.select(*key, F.posexplode("context_token_ids").alias("_pos", "token_id"))
-    named = lookup_join(parts, vocab.select("token_id", "token_text"), "token_id")
-    texts = named.groupBy(*key).agg(F.transform(
+    # Each distinct context is resolved once, however many rows share it.
+    contexts = rows.select("context_token_ids").distinct()
+    parts = contexts.select("context_token_ids", F.posexplode("context_token_ids").alias("_pos", "token_id"))
+    texts = vocab.groupBy("token_id").agg(F.min("token_text").alias("token_text"))
+    named = lookup_join(parts, texts, "token_id").groupBy("context_token_ids").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("_pos", "token_text"))),
         lambda e: e["token_text"]).alias("context_text"))
-    return rows.join(texts, key, "left")
+    return rows.join(named, "context_token_ids", "left").select(*rows.columns, "context_text")
 
 
 def vocabulary_array(vocab, vocab_size):
     """Scalar subquery: texts by id, at most ``vocab_size`` entries, null for missing ids."""
     inside = vocab.where(F.col("token_id").between(0, vocab_size - 1)) \
-        .select(F.col("token_id").cast("long").alias("token_id"), "token_text")
+        .groupBy(F.col("token_id").cast("long").alias("token_id")).agg(F.min("token_text").alias("token_text"))
     ids = vocab.sparkSession.range(vocab_size).withColumnRenamed("id", "token_id")
     return ids.join(inside, "token_id", "left").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("token_id", "token_text"))),

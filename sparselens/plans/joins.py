@@ -53,14 +53,16 @@ def lookup_join(big, small, on, how="inner", max_rows=None, measure=False, salts
 def salted_join(big, small, keys, how="inner", salts=None):
     """Join on the keys and a salt: a hash of the other columns of the big row.
 
-    Arrays are hashed only when there is nothing else to tell rows apart.
+    Arrays are hashed only when there is nothing else to tell rows apart; rows of nothing but
+    keys are spread by their partition.
     """
     salts = salts or SALTS
     others = [f for f in big.schema.fields
               if f.name not in keys and not isinstance(f.dataType, T.MapType)]
     cheap = [f for f in others if not isinstance(f.dataType, (T.ArrayType, T.StructType))]
     hashed = [f.name for f in (cheap or others)]
-    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)) if hashed else F.lit(0).cast("long")
+    salt = F.pmod(F.xxhash64(*hashed), F.lit(salts)) if hashed \
+        else F.pmod(F.spark_partition_id(), F.lit(salts)).cast("long")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     return (big.withColumn("_salt", salt)
             .join(small.withColumn("_salt", copies), [*keys, "_salt"], how)

@@ -46,8 +46,14 @@ def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
               .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_local_{out}")
                                  for out, src in values.items()])
-    joined = local.join(offsets, [*by, "_range"])
-    return joined.select(*df.columns, *[
+    # null groups and a null range meet too, as in a plain window
+    keys = [*by, "_range"]
+    offsets = offsets.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[f"_before_{out}" for out in values])
+    met = F.lit(True)
+    for i, k in enumerate(keys):
+        met = met & local[k].eqNullSafe(offsets[f"_key{i}"])
+    joined = local.join(offsets, met)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[
         (F.col(f"_before_{out}") + F.col(f"_local_{out}")).alias(out) for out in values])
 
 

@@ -15,7 +15,10 @@ def value_cell(value):
     """Non-decreasing map of a number to an integer cell; fine near zero, coarse far out."""
     v = value.cast("double")
     size = F.floor(F.log2(F.abs(v)) * CELLS_PER_OCTAVE) + _ZERO_GAP
-    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+    # infinities and NaN (the largest value, as in sorting) have cells of their own
+    far = F.lit(2 * _ZERO_GAP)
+    return (F.when(F.isnan(v), far + 1).when(v == float("inf"), far).when(v == float("-inf"), -far)
+            .when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long"))
 
 
 def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None):
@@ -36,6 +39,7 @@ def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None):
     rows = (df.where(F.col(value).isNotNull())
             .select(*by, F.col(value).cast("double").alias("_v"))
             .withColumn("_cell", value_cell(F.col("_v"))))
+    group = F.struct(*by) if by else F.lit(0)  # null groups are equal inside a struct
 
     whole = Window.partitionBy(*by)
     upto = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -46,10 +50,10 @@ def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None):
     ranks = [f(F.lit(float(p)) * (F.col("_total") - 1)) for p in probs.values()
              for f in (F.floor, F.ceil)]
     wanted = F.exists(F.array(*ranks), lambda r: (r >= F.col("_start")) & (r < F.col("_end")))
-    targets = cells.where(wanted).select(*by, "_cell", "_start", "_total")
+    targets = cells.where(wanted).select(group.alias("_group"), "_cell", "_start", "_total")
 
     bound = 2 * len(probs) * (max_groups if by else 1) if (max_groups or not by) else None
-    hit = lookup_join(rows, targets, [*by, "_cell"], max_rows=bound, measure=True)
+    hit = lookup_join(rows.withColumn("_group", group), targets, ["_group", "_cell"], max_rows=bound, measure=True)
     inside = (Window.partitionBy(*by, "_cell").orderBy("_v")
               .rowsBetween(Window.unboundedPreceding, 0))
     values = (hit.groupBy(*by, "_cell", "_start", "_total", "_v").agg(F.count("*").alias("_m"))
@@ -67,7 +71,7 @@ def exact_quantiles(df, by, value, probs, max_groups=None, count_name=None):
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("_total") - 1)
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
-        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (at - F.floor(at))).alias(name))
     if count_name:
         out.append(F.col("_total").alias(count_name))
     return grouped.select(*by, *out)

@@ -33,6 +33,8 @@ def shared_dir(spark):
     Only where the cluster names none (tests on one machine) a temporary folder is used.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="sparselens-")
         spark.sparkContext.setCheckpointDir(path)

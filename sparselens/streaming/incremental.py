@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparselens import schema
 from sparselens.operators.activations import active_entries, trimmed_entries
 from sparselens.operators.autoencoder import encode
+from sparselens.operators.resample import step_window
 
 
 def vector_stream(spark, path, row_schema=schema.VECTORS, files_per_trigger=None, **options):
@@ -47,24 +48,38 @@ def alive_counts(active):
     return active.groupBy("feature_id").agg(F.count("*").alias("num_activations"))
 
 
-def fire_windows(active, every=schema.RESAMPLE_EVERY, step="step", delay=0):
+def fire_parts(active, every=schema.RESAMPLE_EVERY, step="step"):
+    """Per step window and unit, the steps with a positive value as bitmaps of 32,768 steps.
+
+    The row with a null unit holds the last step of the input.
+    """
+    fired = active.where(F.col("activation_value") > 0).select(
+        step_window(F.col(step), every).cast("long").alias("step_window"), "feature_id",
+        F.bitmap_bucket_number(F.col(step)).alias("bucket"), F.col(step).cast("long").alias("step"))
+    parts = fired.groupBy("step_window", "feature_id", "bucket").agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("step"))).alias("steps"), F.max("step").alias("last_step"))
+    last = active.agg(F.max(F.col(step).cast("long")).alias("last_step")).where("last_step is not null")
+    return parts.unionByName(last, allowMissingColumns=True)
+
+
+def save_fire_parts(active, path, checkpoint, every=schema.RESAMPLE_EVERY, step="step"):
+    """Write the parts of each micro-batch under its number; a repeated batch replaces its own.
+
+    Nothing depends on the order in which steps come, and no state is kept between batches.
+    """
+    def save(batch, number):
+        fire_parts(batch, every, step).write.mode("overwrite").parquet(f"{path}/batch={number}")
+    return (active.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(save).trigger(availableNow=True).start())
+
+
+def fire_counts(parts, every=schema.RESAMPLE_EVERY):
     """Per complete step window and unit, the number of distinct steps with a positive value.
 
-    Steps serve as event time (one step = one second): a window is emitted, and its state
-    dropped, once a step more than ``delay`` steps past its end has been seen. The steps of a
-    window are kept as bitmaps of 32,768 steps, so the state is bounded by the units.
+    A window is complete once the last step seen lies at or past its end, as in
+    ``resample.dead_per_window``.
     """
-    fired = (active.where(F.col("activation_value") > 0)
-             .withColumn("_time", F.timestamp_seconds(F.col(step) - 1))
-             .withWatermark("_time", f"{delay} seconds"))
-    counted = fired.groupBy(F.window("_time", f"{every} seconds").alias("_w"), "feature_id",
-                            F.bitmap_bucket_number(F.col(step)).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col(step))).alias("_steps"))
-    start = F.unix_seconds(F.col("_w.start"))
-    return counted.select(F.floor(start / every).alias("step_window"), "feature_id",
-                          F.bitmap_count("_steps").alias("fire_count"))
-
-
-def total_fire_counts(windows):
-    """Sum of the bitmap parts written by ``fire_windows``."""
-    return windows.groupBy("step_window", "feature_id").agg(F.sum("fire_count").alias("fire_count"))
+    complete = F.floor(parts.agg(F.max("last_step")).scalar() / every)
+    whole = (parts.where(F.col("feature_id").isNotNull()).where(F.col("step_window") < complete)
+             .groupBy("step_window", "feature_id", "bucket").agg(F.bitmap_or_agg("steps").alias("steps")))
+    return whole.groupBy("step_window", "feature_id").agg(F.sum(F.bitmap_count("steps")).alias("fire_count"))

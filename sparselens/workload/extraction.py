@@ -704,10 +704,10 @@ def stream_alive(spark, d):
 
 @register("R3_stream_fire_counts", "active", BATCHED + f"""
     SELECT (step - 1) // {EVERY} AS step_window, feature_id, count(DISTINCT step) AS fire_count FROM st
-    WHERE (step - 1) // {EVERY} < (SELECT max(step) - 1 FROM st) // {EVERY} GROUP BY ALL""")
+    WHERE (step - 1) // {EVERY} < (SELECT max(step) FROM st) // {EVERY} GROUP BY ALL""")
 def stream_fires(spark, d):
     out, mark = fresh(spark, "fires"), fresh(spark, "marks")
     rows = inc.active_stream(sample_stream(spark, d), top_k_features=None) \
         .withColumn("step", F.expr("sample_id div 32") + 1)
-    inc.append_to(inc.fire_windows(rows, EVERY), out, mark).awaitTermination()
-    return inc.total_fire_counts(spark.read.parquet(out))
+    inc.save_fire_parts(rows, out, mark, EVERY).awaitTermination()
+    return inc.fire_counts(spark.read.parquet(out), EVERY)

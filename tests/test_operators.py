@@ -589,3 +589,37 @@ def test_chunk_overwrite_is_idempotent(spark, tmp_path):
     back = cat.read_activations(spark, path)
     assert back.count() == out.count() and set(back.columns) == {f.name for f in cat.schema.ACTIVATIONS}
     assert all(len(r.context_token_ids) == 21 for r in back.collect())
+
+
+def test_nan_is_not_active(spark):
+    from sparselens.operators import activations as ac
+    rows = spark.createDataFrame([(1, [float("nan"), 0.5, 0.01]), (2, [float("nan")] * 3)], "sample_id long, vec array<double>")
+    for got in (ac.active_entries(rows), ac.trimmed_entries(rows, 0.07, 2)):
+        assert [(r["sample_id"], r["feature_id"]) for r in got.collect()] == [(1, 1)]
+
+
+def test_decode_skips_unknown_units_and_adds_repeated_ones(spark, monkeypatch):
+    from sparselens.operators import autoencoder as ae
+    weights = spark.createDataFrame([(0, [1.0, 0.0], [1.0, 0.0], 0.0), (2, [0.0, 1.0], [0.0, 1.0], 0.0)],
+                                    "feature_id int, w_enc array<double>, w_dec array<double>, b_enc double")
+    bias = spark.createDataFrame([([0.25, 0.25],)], "b_dec array<double>")
+    active = spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.9), (1, 7, 3.0), (1, 2, 1.0), (1, 2, 2.0), (-2, 1, 1.0)],
+                                   "sample_id long, feature_id int, activation_value double")
+    samples = spark.createDataFrame([(1,), (-2,)], "sample_id long")
+    want = {1: [0.75, 3.25], -2: [0.25, 0.25]}
+    for cells in (ae.BROADCAST_CELLS, 0):
+        monkeypatch.setattr(ae, "BROADCAST_CELLS", cells)
+        got = {r["sample_id"]: list(r["reconstruction"]) for r in ae.decode(active, samples, ae.Autoencoder(weights, bias)).collect()}
+        assert got == want
+        vectors = spark.createDataFrame([(-5000, [1.0, 0.5]), (3, [0.0, 2.0])], "sample_id long, vec array<double>")
+        rows = {(r["sample_id"], r["feature_id"]): r["activation_value"] for r in ae.encode(vectors, ae.Autoencoder(weights, bias)).collect()}
+        assert rows == {(-5000, 0): 0.75, (-5000, 2): 0.25, (3, 2): 1.75}
+
+
+def test_context_text_of_repeated_ids_and_rows(spark):
+    from sparselens.operators import text as tx
+    vocab = spark.createDataFrame([(0, "a"), (1, "b"), (1, "B"), (2, "c")], "token_id int, token_text string")
+    rows = spark.createDataFrame([(1, 1, [0, 1, 2]), (1, 1, [2, 2, 9]), (2, 1, None)], "sample_id long, feature_id int, context_token_ids array<int>")
+    for size in (3, None):
+        got = sorted((r["sample_id"], r["context_text"] or []) for r in tx.with_context_text(rows, vocab, size).collect())
+        assert got == [(1, ["a", "B", "c"]), (1, ["c", "c"]), (2, [])]

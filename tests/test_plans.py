@@ -77,3 +77,39 @@ def test_dense_products(spark, block):
     np.fill_diagonal(g, -np.inf)
     assert all(near[i].nearest_id == g[i].argmax() for i in range(9))
     assert blocks.dense_products(df.where("false"), df).count() == 0
+
+
+NULLABLE = [("a", 5, 1.5), ("a", 9, float("nan")), ("a", -7, 8.0), (None, 3, 1.0), (None, -2, 2.0), (None, 8, float("inf")),
+            ("b", 1, float("-inf")), ("b", 2, None), ("b", 4, 0.0), ("c", 6, None)]
+
+
+def nullable(spark):
+    return spark.createDataFrame(NULLABLE, "g string, k long, v double")
+
+
+def both_plans(spark, monkeypatch, run):
+    """The rows of the plan for small inputs and of the one for large inputs."""
+    from sparselens.plans import joins
+    small = sorted(map(str, run().collect()))
+    for name in ("SMALL_INPUT", "BROADCAST_BYTES", "BROADCAST_ROWS"):
+        monkeypatch.setattr(joins, name, -1)
+    return small, sorted(map(str, run().collect()))
+
+
+def test_null_groups_are_numbered(spark, monkeypatch):
+    small, large = both_plans(spark, monkeypatch, lambda: ordered.dense_index(nullable(spark), "k", ["g"], width=4))
+    assert small == large and len(large) == len(NULLABLE)
+
+
+def test_quantiles_of_null_groups_nan_and_infinities(spark, monkeypatch):
+    from sparselens.plans.quantiles import exact_quantiles
+    small, large = both_plans(spark, monkeypatch, lambda: exact_quantiles(
+        nullable(spark), ["g"], "v", {"low": 0.25, "mid": 0.5, "top": 1.0}, count_name="n"))
+    assert small == large and len(large) == 3
+
+
+def test_rows_of_keys_alone_are_spread(spark):
+    from sparselens.plans.joins import salted_join
+    big = spark.range(1000, numPartitions=8).select(F.lit(1).alias("k"))
+    out = salted_join(big, spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], salts=4)
+    assert out.count() == 1000
