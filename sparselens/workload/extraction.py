@@ -220,11 +220,13 @@ def token_ids(spark, d):
 
 @register("P4_vector_per_token", "tok dict", f"""
     SELECT t.doc_id, count(*) AS n, {R('sum(CAST(e.embedding[1] AS DOUBLE))')} AS first_sum
-    FROM tok t JOIN dict d ON d.token_text = t.word JOIN embeddings e ON e.vec_id = d.token_id
+    FROM tok t JOIN dict d ON d.token_text = t.word
+    JOIN embeddings e ON e.vec_id = d.token_id % (SELECT count(*) FROM embeddings)
     GROUP BY t.doc_id""")
 def token_vectors(spark, d):
-    table = fr.read(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
-    rows = ae.vectors_for_tokens(id_rows(spark, d), table)
+    table = fr.read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    tokens = id_rows(spark, d).withColumn("vec_id", F.col("token_id") % table.agg(F.count("*")).scalar())
+    rows = ae.vectors_for_tokens(tokens, table, "vec_id")
     return rounded(rows.groupBy("doc_id").agg(
         F.count("*").alias("n"), F.sum(F.col("vec")[0].cast("double")).alias("first_sum")), "first_sum")
 
