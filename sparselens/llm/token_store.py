@@ -261,7 +261,8 @@ def read_store(manifest):
                     pa.array([zlib.crc32(raw[s:e]) for s, e in zip(ends, ends[1:])], pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return (manifest.select("path", "start").repartition("path")
+    shards = max(1, min(manifest.count(), 100_000))  # a short list that would otherwise be read by one task
+    return (manifest.select("path", "start").repartition(shards, "path")
             .mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"))
 
 
