@@ -92,9 +92,9 @@ def limits(sketch):
     sides = [f"{s}_{k}" for k in SLACK for s in ("low", "high")]
     own = fences(sketch, ["lang", "source"])
     by_lang = fences(sketch, ["lang"]).select(F.col("lang").alias("_lang"), F.col("docs").alias("_docs"), *(F.col(s).alias(f"_{s}") for s in sides))
-    whole = fences(sketch.withColumn("one", F.lit(1)), ["one"]).select("one", *(F.col(s).alias(f"__{s}") for s in sides))
-    met = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")  # whole is one row
-    chosen = lambda s: F.when(F.col("docs") >= MIN_DOCS, F.col(s)).when(F.col("_docs") >= MIN_DOCS, F.col(f"_{s}")).otherwise(F.col(f"__{s}"))
+    whole = fences(sketch.withColumn("one", F.lit(1)), ["one"]).select(F.struct(*sides)).scalar()
+    met = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang"))).withColumn("_whole", whole)
+    chosen = lambda s: F.when(F.col("docs") >= MIN_DOCS, F.col(s)).when(F.col("_docs") >= MIN_DOCS, F.col(f"_{s}")).otherwise(F.col(f"_whole.{s}"))
     key = F.struct("lang", "source")
     return met.select(F.xxhash64(F.to_json(key)).alias("_group"), *(chosen(s).alias(s) for s in sides))
 
