@@ -63,15 +63,16 @@ def windows(ids, bounds):
         yield order[:active], np.where(valid, before, 0).astype(np.int64), targets, valid
 
 
-def forward(p, state, inputs):
-    """States after each step, and what the backward pass needs."""
+def forward(p, state, inputs, keep=True):
+    """States after each step, and (``keep``) what the backward pass needs."""
     given, kept, states = p["input"][inputs], [], np.empty((*inputs.shape, HIDDEN), np.float32)
     for t in range(len(inputs)):
         from_state = state @ p["state"]
         gates = sigmoid(given[t, :, :2 * HIDDEN] + from_state[:, :2 * HIDDEN])
         z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
         n = np.tanh(given[t, :, 2 * HIDDEN:] + r * from_state[:, 2 * HIDDEN:])
-        kept.append((state, z, r, n, from_state[:, 2 * HIDDEN:]))
+        if keep:
+            kept.append((state, z, r, n, from_state[:, 2 * HIDDEN:]))
         state = n + z * (state - n)
         states[t] = state
     return states, kept
@@ -106,14 +107,24 @@ def outputs(p, hidden, targets, gradient=None):
     return (total, None) if gradient is None else (total, back)
 
 
-def score(p, ids, bounds):
-    """log10 probability of each document, the state carried through all of it."""
-    out, state = np.zeros(len(bounds) - 1), np.zeros((len(bounds) - 1, HIDDEN), np.float32)
-    for docs, inputs, targets, valid in windows(ids, bounds):
-        states, _ = forward(p, state[:len(docs)], inputs)
-        state = states[-1]
-        found, _ = outputs(p, states[valid], targets[valid])
-        out += np.bincount(np.broadcast_to(docs, valid.shape)[valid], found, minlength=len(out))
+def score(p, ids, bounds, together=4_096):
+    """log10 probability of each document, the state carried through all of it.
+
+    At most ``together`` documents of similar length run side by side.
+    """
+    size = np.diff(bounds)
+    out, order = np.zeros(len(size)), np.argsort(-size, kind="stable")
+    for lo in range(0, len(order), together):
+        group = order[lo:lo + together]
+        ends = np.cumsum(size[group])
+        own = ids[np.repeat(bounds[group] - (ends - size[group]), size[group]) + np.arange(ends[-1])]
+        found, state = np.zeros(len(group)), np.zeros((len(group), HIDDEN), np.float32)
+        for docs, inputs, targets, valid in windows(own, np.concatenate([[0], ends])):
+            states, _ = forward(p, state[:len(docs)], inputs, keep=False)
+            state = states[-1]
+            logs, _ = outputs(p, states[valid], targets[valid])
+            found += np.bincount(np.broadcast_to(docs, valid.shape)[valid], logs, minlength=len(found))
+        out[group] = found
     return out / LOG10
 
 
