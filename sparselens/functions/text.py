@@ -63,6 +63,15 @@ def is_punct(token):
     return strip(token).rlike(PUNCT_PATTERN)
 
 
+def covering_word(joined, offset):
+    """The word of a text that covers a position: letters and digits around it, or the one sign
+    that stands there; null where a blank or nothing does."""
+    before, after = F.substring(joined, F.lit(1), offset), F.substring(joined, offset + 1, F.length(joined))
+    return (F.when(after.rlike(r"^[\p{L}\p{N}]"), F.concat(F.regexp_extract(before, r"[\p{L}\p{N}]*$", 0),
+                                                          F.regexp_extract(after, r"^[\p{L}\p{N}]+", 0)))
+            .when(after.rlike(r"^\S"), F.substring(after, F.lit(1), F.lit(1))))
+
+
 def numbered_list(items):
     """Array of texts -> "1. first\\n2. second"."""
     return F.array_join(F.transform(

@@ -89,7 +89,8 @@ def top_contexts_per_feature(act, vocab, k, window=schema.CONTEXT_WINDOW, vocab_
 def classify_tokens(rows, window=schema.CONTEXT_WINDOW, tagger=None, stop_words=None):
     """Ten properties of the activating token of each row.
 
-    The surface properties are native. ``stop_words`` is a frame with one column ``word``.
+    ``is_stop`` and ``is_punct`` are those of the word that covers the token's offset in the joined
+    context; a blank there (a token that starts with one) or nothing gives false. The surface properties are native. ``stop_words`` is a frame with one column ``word``.
     ``tagger`` is a function for ``mapInPandas`` that reads ``token_joined_context`` and
     ``char_offset`` and fills pos, ner and dep; without it they keep the fallbacks.
     """
@@ -97,16 +98,17 @@ def classify_tokens(rows, window=schema.CONTEXT_WINDOW, tagger=None, stop_words=
     out = rows if "token_joined_context" in rows.columns else with_joined_context(rows, window)
     out = out.select(
         "*", F.lit("X").alias("pos"), F.lit("O").alias("ner"), F.lit("").alias("dep"),
-        F.coalesce(X.is_punct(token), F.lit(False)).alias("is_punct"),
         X.subword_position(token).alias("subword_position"), X.is_numeric(token).alias("is_numeric"),
         X.is_upper(token).alias("is_upper"), X.is_title(token).alias("is_title"),
         X.is_whitespace(token).alias("is_whitespace"),
         X.char_offset(F.col("context_text"), window).alias("char_offset"))
+    out = out.withColumn("_word", F.lower(X.covering_word(F.col("token_joined_context"), F.col("char_offset"))))
+    out = out.withColumn("is_punct", F.coalesce(X.is_punct(F.col("_word")), F.lit(False)))
     if stop_words is None:
-        out = out.withColumn("is_stop", F.lit(False))
+        out = out.withColumn("is_stop", F.lit(False)).drop("_word")
     else:
         known = stop_words.select(F.lower("word").alias("_word"), F.lit(True).alias("_stop")).distinct()
-        out = (lookup_join(out.withColumn("_word", F.lower(X.strip(token))), known, "_word", "left")
+        out = (lookup_join(out, known, "_word", "left")
                .withColumn("is_stop", F.coalesce("_stop", F.lit(False))).drop("_word", "_stop"))
     return out if tagger is None else out.mapInPandas(tagger, out.schema)
 

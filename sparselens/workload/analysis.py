@@ -574,6 +574,14 @@ FLAGS = f"""
     {S} = '' AS is_whitespace, regexp_matches({S}, '^\\p{{P}}+$') AS is_punct"""
 
 
+#: The word that covers the token's offset, and whether it is punctuation.
+AFTER = "substr(token_joined_context, char_offset + 1)"
+COVER = f"""CASE WHEN regexp_matches({AFTER}, '^[\\p{{L}}\\p{{N}}]')
+    THEN regexp_extract(substr(token_joined_context, 1, char_offset), '[\\p{{L}}\\p{{N}}]*$') || regexp_extract({AFTER}, '^[\\p{{L}}\\p{{N}}]+')
+    WHEN regexp_matches({AFTER}, '^\\S') THEN substr({AFTER}, 1, 1) END"""
+COVERED = FLAGS.rpartition(", regexp")[0] + f""", coalesce(regexp_matches({COVER}, '^\\p{{P}}+$'), false) AS is_punct"""
+
+
 @register("D4_D8_token_flags", "dict", f"SELECT token_text, {FLAGS} FROM dict")
 def token_flags(spark, d):
     t = F.col("token_text")
@@ -584,7 +592,8 @@ def token_flags(spark, d):
 
 
 @register("D9_classify_tokens", "act vocab", STRINGS + f"""
-    SELECT sample_id, feature_id, 'X' AS pos, 'O' AS ner, '' AS dep, lower({S}) IN ('w1', 'w3', 'w5') AS is_stop, {FLAGS}, char_offset FROM strs""")
+    SELECT sample_id, feature_id, 'X' AS pos, 'O' AS ner, '' AS dep, coalesce(lower({COVER}) IN ('w1', 'w3', 'w5'), false) AS is_stop, {COVERED},
+    char_offset FROM strs""")
 def classify(spark, d):
     stop = fr.vocab(spark).where(F.col("token_id").isin(1, 3, 5)).select(F.col("token_text").alias("word"))
     return tx.classify_tokens(texts(spark, d), stop_words=stop).select(
@@ -608,10 +617,9 @@ def tagger(spark, d):
 
 
 PROPERTIES = ("pos", "ner", "is_stop", "is_punct", "dep", "subword_position", "is_numeric", "is_upper", "is_title", "is_whitespace")
-BREAKDOWN = STRINGS + f""", best AS (SELECT feature_id, token_text, 'X' AS pos, 'O' AS ner, '' AS dep, false AS is_stop, {FLAGS} FROM (
-        SELECT *, row_number() OVER (PARTITION BY feature_id ORDER BY activation_value DESC, sample_id) AS rk FROM
-            (SELECT a.sample_id, a.feature_id, a.activation_value, a.token_id FROM act a)) r
-        JOIN vocab v ON v.token_id = r.token_id WHERE rk <= {{n}}),
+BREAKDOWN = STRINGS + f""", best AS (SELECT feature_id, token_text, 'X' AS pos, 'O' AS ner, '' AS dep, false AS is_stop, {COVERED} FROM (
+        SELECT s.*, rk FROM (SELECT sample_id, feature_id, row_number() OVER (PARTITION BY feature_id ORDER BY activation_value DESC, sample_id) AS rk
+            FROM act) r JOIN strs s ON s.sample_id = r.sample_id AND s.feature_id = r.feature_id) WHERE rk <= {{n}}),
     brk AS ({' UNION ALL '.join(f"SELECT feature_id, '{p}' AS property, CAST({p} AS VARCHAR) AS value FROM best" for p in PROPERTIES)})"""
 
 
