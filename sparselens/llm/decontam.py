@@ -6,10 +6,10 @@
    A'(A O) for a random O, and the singular directions come from that sum (Nystroem form), so
    one pass over the passages is enough.
 3. Items and windows of documents are folded into the latent space. Windows come in lengths that
-   fit the items (powers of the square root of two), a quarter of a window apart. A window whose
-   words are mostly outside the benchmark cannot be a copy of an item: its share of TF-IDF weight inside
-   the vocabulary bounds the cosine it could have with any item, so only windows with a share
-   of at least ``INSIDE`` are compared. Pairs with a latent cosine of at least ``COSINE`` are candidates.
+   fit the items (powers of the square root of two), a quarter of a window apart. A common subsequence
+   takes its words from both sides, each as often as both have it, so only pairs of a window (with some
+   slack) and an item with as many words in common as step 4 asks for are compared: that loses no leak.
+   Pairs with a latent cosine of at least ``COSINE`` are candidates.
 4. A candidate is a leak when the longest common subsequence of the item and the window (with some
    slack) has ``COPY`` of the item's words, or ``PARAPHRASE`` of them and the item's answer: the words
    after its last "answer:", or its last words, in order. Items of under ``SHORT`` words need all words.
@@ -34,8 +34,10 @@ from sparselens.llm.common import boxed, sliced, staged, words_of
 from sparselens.llm.textmodel import distinct, sums
 
 PASSAGE, RANK, OVERSAMPLE, SEED = 32, 40, 8, 20
-INSIDE, COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 0.3, 0.4, 0.8, 0.5, 0.75, 8
+COSINE, COPY, PARAPHRASE, ANSWER, SHORT = 0.4, 0.8, 0.5, 0.75, 8
 ANSWER_WORDS, BLOCK = 8, 1_000
+#: Counts of words in windows that are held at a time.
+CELLS = 1 << 22
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…–—¿¡"
 HIT = "doc_id long, item_id long, cosine double, overlap double, answer boolean"
 
@@ -194,11 +196,62 @@ def masks_of(words):
     return masks, (1 << len(words)) - 1
 
 
+class Bags:
+    """Words of the items of one length, for what a window has in common with each of them.
+
+    A word that an item has k times is k rows: held at least once, twice, up to k times."""
+
+    def __init__(self, items, size):
+        found = np.unique(np.concatenate([w for both in items for w in both]))
+        self.place = np.full(size + 1, len(found), np.int32)
+        self.place[found] = np.arange(len(found))
+        self.levels, self.items = {}, []
+        for words, answer in items:
+            least = int(np.ceil(PARAPHRASE * len(words))) if len(words) >= SHORT else len(words)
+            self.items.append((self.rows(words), len(words), least, self.rows(answer), len(answer)))
+        self.word, self.times = map(np.array, zip(*self.levels))
+
+    def rows(self, words):
+        """The rows of each word, as often as it is there."""
+        own, times = np.unique(self.place[words], return_counts=True)
+        return np.array([self.levels.setdefault((int(w), k), len(self.levels)) for w, n in zip(own, times) for k in range(1, n + 1)])
+
+    def pairs(self, codes, left, right):
+        """(windows, items) with enough words in common for a leak, some windows at a time;
+        ``left`` and ``right`` ascend."""
+        places = self.place[codes]
+        known = np.flatnonzero(places < self.place[-1])
+        kind = np.int16 if max(n for _, n, *_ in self.items) < 1 << 15 else np.int32
+        open_ = np.flatnonzero(np.searchsorted(known, right) - np.searchsorted(known, left) >= min(least for _, _, least, _, _ in self.items))
+        most = max(16, CELLS // len(self.word))
+        for lo in range(0, len(open_), most):
+            part = open_[lo:lo + most]
+            at = known[np.searchsorted(known, left[part[0]]):np.searchsorted(known, right[part[-1]])]
+            begin, stop = np.searchsorted(right[part], at, side="right"), np.searchsorted(left[part], at, side="right")
+            used = begin < stop
+            own, width = places[at[used]].astype(np.int64), len(part) + 1
+            change = np.zeros(int(self.place[-1]) * width, np.int32)
+            np.add.at(change, own * width + begin[used], 1)
+            np.add.at(change, own * width + stop[used], -1)
+            held = np.cumsum(change.reshape(-1, width)[:, :-1], axis=1, dtype=np.int32)
+            held = (held[self.word] >= self.times[:, None]).astype(kind)
+            windows, items = [], []
+            for i, (rows, n, least, answer_rows, answer) in enumerate(self.items):
+                common = np.add.reduce(held[rows], axis=0, dtype=kind)
+                w = np.flatnonzero(common >= least)
+                if len(w):
+                    w = w[(common[w] / n >= COPY) | (held[answer_rows[:, None], w].sum(axis=0) >= ANSWER * answer)]
+                    windows.append(part[w])
+                    items.append(np.full(len(w), i))
+            if sum(map(len, windows)):
+                yield np.concatenate(windows), np.concatenate(items)
+
+
 class Searcher:
     """Finds the block's items in coded documents."""
 
     def __init__(self, items, vocabulary, idf, latent):
-        self.vocabulary, self.square = vocabulary, (idf * idf).astype(np.float64)
+        self.vocabulary = vocabulary
         self.weights = np.vstack([latent * idf[:-1, None], np.zeros((1, latent.shape[1]), np.float32)])
         self.groups = {}
         for item, words, answer in items:
@@ -207,39 +260,37 @@ class Searcher:
         self.latent = {k: self.unit(np.stack([self.weights[w].sum(axis=0) for _, w, _ in v])) for k, v in self.groups.items()}
         self.masks = {k: [(masks_of(w.tolist()), masks_of(a.tolist())) for _, w, a in v] for k, v in self.groups.items()}
 
+        self.bags = {k: Bags([(w, a) for _, w, a in v], vocabulary.size) for k, v in self.groups.items()}
+
     @staticmethod
     def unit(rows):
         return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
     def candidates(self, codes, bounds, length):
-        """(document, window start, window end, item place, cosine) above COSINE."""
-        step, size = max(1, length // 4), np.diff(bounds)
+        """(document, start and end of the window with slack, item place, cosine) above COSINE."""
+        step, size, slack = max(1, length // 4), np.diff(bounds), length // 4 + 1
         count = np.where(size > 0, 1 + np.maximum(0, -(-(size - length) // step)), 0)
         doc = np.repeat(np.arange(len(size)), count)
         start = bounds[:-1][doc] + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
         end = np.minimum(start + length, bounds[1:][doc])
-        weight = self.square[codes]
-        inside = np.concatenate([[0], np.cumsum(np.where(codes < self.vocabulary.size, weight, 0))])
-        everything = np.concatenate([[0], np.cumsum(weight)])
-        keep = inside[end] - inside[start] >= INSIDE * (everything[end] - everything[start])
-        doc, start, end = doc[keep], start[keep], end[keep]
-        for lo in range(0, len(doc), 1 << 14):
-            part = slice(lo, lo + (1 << 14))
-            rows = self.unit(folded(codes, start[part], end[part] - start[part], self.weights))
-            cosine = rows @ self.latent[length].T
-            w, item = np.nonzero(cosine >= COSINE)
-            yield from zip(doc[part][w].tolist(), start[part][w].tolist(), end[part][w].tolist(), item.tolist(), cosine[w, item].tolist())
+        left, right = np.maximum(start - slack, bounds[:-1][doc]), np.minimum(end + slack, bounds[1:][doc])
+        for w, item in self.bags[length].pairs(codes, left, right):
+            used, place = np.unique(w, return_inverse=True)
+            rows = self.unit(folded(codes, start[used], end[used] - start[used], self.weights))
+            cosine = np.einsum("ij,ij->i", rows[place], self.latent[length][item])
+            near = cosine >= COSINE
+            w, item = w[near], item[near]
+            yield from zip(doc[w].tolist(), left[w].tolist(), right[w].tolist(), item.tolist(), cosine[near].tolist())
 
     def hits(self, codes, bounds):
         """[(document, item_id, cosine, overlap, answer)], the best window of each document and item."""
         best = {}
         for length, items in self.groups.items():
-            slack = length // 4 + 1
             for doc, start, end, item, cosine in self.candidates(codes, bounds, length):
                 key = (doc, items[item][0], item, length)
                 if key in best and best[key][1] == 1.0:
                     continue
-                words = codes[max(bounds[doc], start - slack):min(bounds[doc + 1], end + slack)].tolist()
+                words = codes[start:end].tolist()
                 (masks, full), (answer_masks, answer_full) = self.masks[length][item]
                 overlap = subsequence(masks, full, words) / full.bit_length()
                 if overlap < (PARAPHRASE if full.bit_length() >= SHORT else 1.0):

@@ -63,6 +63,35 @@ def test_nothing_to_find(odd_docs, no_docs, case, spark):
     assert decontam.find_leaks(no_docs, case[1]).count() == 0 and decontam.drop_leaks(no_docs, case[1]).count() == 0
 
 
+def test_paraphrases_in_unseen_words(spark, make_docs):
+    """40 to 50% of an item's words replaced by words that are nowhere else, its last eight words kept:
+    every pair that brute-force common subsequences confirm is looked at and found."""
+    rng = random.Random(11)
+    items = {k: prose(rng, rng.randint(24, 60)) for k in range(12)}
+    rows, want = [], set()
+    for doc in range(48):
+        words, leak = prose(rng, rng.randint(0, 300)), list(items[doc % 12])
+        for i in rng.sample(range(len(leak) - 8), int(len(leak) * rng.uniform(0.4, 0.5))):
+            leak[i] = f"unseen{doc}x{i}"
+        at = rng.randint(0, len(words))
+        rows.append((doc, " ".join(words[:at] + leak + words[at:])))
+        want.add((doc, doc % 12))
+    docs, bench = make_docs(rows), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")
+    assert want <= {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+
+    searcher = next(decontam.searchers(docs, bench))[0]
+    codes, bounds = searcher.vocabulary.code(__import__("pyarrow").array([t for _, t in rows]))
+    for length, own in searcher.groups.items():
+        left = np.concatenate([np.arange(s, e, 5) for s, e in zip(bounds, bounds[1:])])
+        right = np.concatenate([np.minimum(np.arange(s, e, 5) + length * 3 // 2, e) for s, e in zip(bounds, bounds[1:])])
+        got = {(w, i) for part in searcher.bags[length].pairs(codes, left, right) for w, i in zip(*map(np.ndarray.tolist, part))}
+        for w, (s, e) in enumerate(zip(left, right)):
+            for i, ((masks, full), (answer_masks, answer_full)) in enumerate(searcher.masks[length]):
+                overlap = decontam.subsequence(masks, full, codes[s:e].tolist()) / full.bit_length()
+                answer = decontam.subsequence(answer_masks, answer_full, codes[s:e].tolist()) >= decontam.ANSWER * answer_full.bit_length()
+                assert (w, i) in got or not (overlap >= decontam.COPY or overlap >= decontam.PARAPHRASE and answer)
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
