@@ -4,7 +4,9 @@ Base kinds are email, ip, card (Luhn) and phone; their confirmed spans always st
 iban (mod-97 over the rearranged number), ssn and secret (long hexadecimal strings): these stay
 when their score reaches ``ACCEPT``. A score starts at the kind's prior, rises by ``CONFIRMED`` when a
 checksum holds and by ``CONTEXT`` when one of the kind's words stands within ``NEAR`` characters before
-the span. Offsets are code points, ends exclusive.
+or after the span. Offsets are code points, ends exclusive. What follows an account number may look like
+more of it, so the length of its country is tried, then the longest run, and for other countries every
+length that ends a word, the longest first; the search goes on after an accepted end.
 
 Every pattern is searched in time linear in the text: emails grow from each ``@``, addresses are cut
 from dotted runs of digits. Nulls: a null text is empty; a null ``doc_id`` is kept. Repeated rows give
@@ -33,7 +35,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b")
+IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+IBAN_LEAST, WORD_END = 15, re.compile(r"\b")
+#: Length of the account numbers of each country, blanks not counted.
+IBAN_LENGTHS = {code: int(n) for n, codes in (x.split(":") for x in (
+    "15:NO|16:BE|18:DK FI FO GL NL|19:MK SI|20:AT BA EE KZ LT LU XK|21:CH HR LI LV|22:BG BH CR DE GB GE IE ME RS VA|23:AE GI IL IQ TL|"
+    "24:AD CZ ES MD PK RO SA SE SK TN VG|25:PT ST|26:IS TR|27:FR GR IT MC MR SM|28:AL AZ BY CY DO GT HU LB PL SV|29:BR EG PS QA UA|"
+    "30:JO KW MU|31:MT SC|32:LC").split("|")) for code in codes.split()}
 SSN = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
 SECRET = re.compile(r"\b[0-9a-fA-F]{32,64}\b")
 
@@ -52,6 +60,21 @@ def mod97(iban):
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def accounts(text):
+    """Account numbers: at each place the country's length, else the longest run that ends a word, whose check holds."""
+    m = IBAN.search(text)
+    while m:
+        start, usual = m.start(), IBAN_LENGTHS.get(text[m.start():m.start() + 2])
+        ends = [e for e in range(m.end(), start, -1) if text[e - 1] != " " and WORD_END.match(text, e)]
+        sizes = {e: e - start - text.count(" ", start, e) for e in ends}
+        if usual:
+            ends = [e for e in ends if sizes[e] == usual] + ends[:1]
+        end = next((e for e in ends if sizes[e] >= IBAN_LEAST and mod97(text[start:e])), None)
+        if end:
+            yield start, end
+        m = IBAN.search(text, end or start + 1)
+
+
 def emails(text):
     after, at = 0, text.find("@")
     while at >= 0:
@@ -106,9 +129,8 @@ def proposals(text):
         for m in PHONE.finditer(text):
             if 9 <= sum(len(d) for d in DIGITS.findall(m[0])) <= 15:
                 yield "phone", *m.span(), False
-    for m in IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span(), True
+    for s, e in accounts(text):
+        yield "iban", s, e, True
     for m in SSN.finditer(text):
         yield "ssn", *m.span(), False
     for m in SECRET.finditer(text):
@@ -119,8 +141,8 @@ def spans(text):
     """[(start, kind place, end, score)] in order; base kinds stay whatever their score."""
     out = []
     for kind, s, e, checked in proposals(text or ""):
-        before = text[max(0, s - NEAR):s].lower()
-        score = PRIOR[kind] + CONFIRMED * checked + CONTEXT * any(w in before for w in WORDS[kind])
+        sides = text[max(0, s - NEAR):s].lower(), text[e:e + NEAR].lower()
+        score = PRIOR[kind] + CONFIRMED * checked + CONTEXT * any(w in side for side in sides for w in WORDS[kind])
         if kind in BASE or score >= ACCEPT:
             out.append((s, KINDS.index(kind), e, min(1.0, round(score, 3))))
     return sorted(out)

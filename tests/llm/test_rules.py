@@ -116,6 +116,26 @@ def test_checks_and_context():
     assert pii.masked("write to a.b@c.de or +1 (555) 010-9999") == "write to <email> or <phone>"
 
 
+def test_account_numbers_before_other_words():
+    number = {"GB82WEST12345698765432": " EUR 500", "DE89 3704 0044 0532 0130 00": " BIC COBADEFF", "GB82 WEST 1234 5698 7654 32": " I paid",
+              "DE89370400440532013000": " 12 May", "NO9386011117947": ", then"}
+    for n, after in number.items():
+        text = f"X1 {n}{after}"
+        assert [(text[s:e]) for s, k, e, _ in pii.spans(text) if pii.KINDS[k] == "iban"] == [n]
+    both = " ".join(number)
+    assert [both[s:e] for s, k, e, _ in pii.spans(both) if pii.KINDS[k] == "iban"] == list(number)
+    wrong = "AB12 3456 7890 1234 GB82 WEST 1234 5698 7654 32"
+    assert [wrong[s:e] for s, k, e, _ in pii.spans(wrong) if pii.KINDS[k] == "iban"] == ["GB82 WEST 1234 5698 7654 32"]
+    assert not [k for _, k, _, _ in pii.spans("GB82WEST123456987654321") if pii.KINDS[k] == "iban"]
+
+
+def test_context_after_a_span():
+    assert [pii.KINDS[k] for _, k, _, _ in pii.spans("078-05-1120 is my SSN")] == ["ssn"]
+    assert not pii.spans("078-05-1120 " + "x " * pii.NEAR + "SSN")
+    for text in ("AA00" * 100_000, "AA00 " * 100_000, "GB82 WEST 1234 5698 7654 32 " * 10_000):
+        pii.spans(text)
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" + "(" * 200_000, "a@" * 200_000):
         pii.spans(text)
