@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and their SQL."""
 
-from sparselens.llm import cotrain, decontam, licenses, lm, mixing, pii, quality_rules, simhash, token_store, toxicity
+from sparselens.llm import (cotrain, decontam, licenses, lm, mixing, pieces, pii, quality_rules, simhash, token_store, toxicity, trie,
+                            whitening)
 from sparselens.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -65,3 +66,21 @@ def op9_mixing_rates(spark, sf_dir):
 @register
 def op10_gru_scores(spark, sf_dir):
     return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op12_pieces(spark, sf_dir):
+    return pieces.token_digest(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
+SQL["op13_prefix_trie"] = trie.oracle()
