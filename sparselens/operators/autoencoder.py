@@ -1,7 +1,11 @@
-"""Sparse autoencoder arithmetic over tables of vectors, and its losses."""
+"""Sparse autoencoder arithmetic over tables of vectors, and its losses.
+
+Weights lie in slabs (``plans/slabs.py``). Every operator below is one Arrow pass over the
+vectors: a task takes a slice of rows and streams all slabs past it, so the same plan serves
+weights of any size, batch frames and streams, and needs no id of a sample.
+"""
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,9 +15,8 @@ from sparselens import schema
 from sparselens.functions import vectors as V
 from sparselens.plans.inputs import spread
 from sparselens.plans.joins import lookup_join
+from sparselens.plans.slabs import matrix, open_slab, remove_slabs, write_slabs
 
-# Weights up to this many numbers (512 MB as doubles) are shipped to every executor once.
-BROADCAST_CELLS = 64 << 20
 # Unit values held at a time by one task: 64 MB.
 CELLS_AT_ONCE = 8 << 20
 
@@ -22,13 +25,13 @@ class Autoencoder:
     """Weights as a table with one row per unit, and the one-row decoder bias.
 
     ``weights`` has feature_id, w_enc, w_dec, b_enc; ``b_dec`` has one array column of the
-    same name. With ``tied`` weights the decoder uses the encoder rows.
+    same name. With ``tied`` weights the decoder uses the encoder rows. The slabs are written
+    when the first operator asks for them; ``remove`` deletes them. ``slab_cells`` sets their size.
     """
 
-    def __init__(self, weights, b_dec, tied=False):
-        self.weights, self.b_dec, self.tied = weights, b_dec, tied
-        self._size = None
-        self._shared = None
+    def __init__(self, weights, b_dec, tied=False, slab_cells=None):
+        self.weights, self.b_dec, self.tied, self.slab_cells = weights, b_dec, tied, slab_cells
+        self._size = self._slabs = self._bias = None
 
     @property
     def size(self):
@@ -38,52 +41,34 @@ class Autoencoder:
                 F.count("*"), F.coalesce(F.max(F.size("w_enc")), F.lit(0))).first())
         return self._size
 
-    @property
-    def fits_broadcast(self):
-        units, dim = self.size
-        return 2 * units * dim <= BROADCAST_CELLS
-
-    def shared(self):
-        """Weights as a broadcast variable; only called after the size check."""
-        if not self.fits_broadcast:
-            raise ValueError("the weights are too large to broadcast")
-        if self._shared is None:
-            decoder = "w_enc" if self.tied else "w_dec"
-            rows = (self.weights.select("feature_id", "w_enc", F.col(decoder).alias("_dec"), "b_enc")
-                    .toPandas().sort_values("feature_id"))
-            value = (rows["feature_id"].to_numpy("int64"), _stack(rows["w_enc"]),
-                     _stack(rows["_dec"]), rows["b_enc"].to_numpy("float64"), self.bias())
-            self._shared = self.weights.sparkSession.sparkContext.broadcast(value)
-        return self._shared
+    def slabs(self):
+        """[(uri, units)]: a short list, whatever the size of the weights."""
+        if self._slabs is None:
+            self._slabs = write_slabs(self.weights, "w_enc" if self.tied else "w_dec", self.slab_cells)
+        return self._slabs
 
     def bias(self):
-        return np.asarray(self.b_dec.select("b_dec").first()[0], dtype="float64")
-
-
-def _stack(rows):
-    return np.stack([np.asarray(r, dtype="float64") for r in rows])
+        if self._bias is None:
+            self._bias = np.asarray(self.b_dec.select("b_dec").first()[0], dtype="float64")
+        return self._bias
 
+    def remove(self):
+        remove_slabs(self._slabs or [])
+        self._slabs = None
 
-def _matrix(column, dim=None):
-    """Arrow list column to a dense matrix; all rows must have the same length."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    width = dim if dim is not None else (len(flat) // max(len(column), 1))
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    if (lengths != width).any():
-        raise ValueError("vectors of different length")
-    return flat.reshape(len(column), width)
 
-
-def _slices(batches, units):
-    """Arrow batches cut so that rows x units stays bounded."""
-    step = max(1, CELLS_AT_ONCE // max(units, 1))
+def _slices(batches, width):
+    """Arrow batches cut so that rows x ``width`` stays bounded."""
+    step = max(1, CELLS_AT_ONCE // max(width, 1))
     for batch in batches:
         for start in range(0, batch.num_rows, step):
             yield batch.slice(start, step)
 
 
+def _widest(slabs, dim):
+    return max([dim, *(units for _, units in slabs)])
+
+
 def _trim(rows, units, values, k):
     """The k largest entries of each row, sorted by (row, value descending, unit)."""
     order = np.lexsort((units, -values, rows))
@@ -96,38 +81,55 @@ def _trim(rows, units, values, k):
     return rows, units, values
 
 
-def _relu(x, w_enc, b_enc, b_dec):
-    return np.maximum((x - b_dec) @ w_enc.T + b_enc, 0.0)
+def _relu(x, slab, bias):
+    return np.maximum((x - bias) @ slab.w_enc.T + slab.b_enc, 0.0)
+
+
+def _strongest(x, slabs, bias, limit, k):
+    """(row, unit, value) above the limit, the best k of each row; one slab's values at a time.
+
+    ``floor`` is the value an entry of the next slab must pass: the k-th best so far, and equal
+    values keep the lower unit, which came first.
+    """
+    rows, units, values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    floor = np.full(len(x), limit)
+    for uri, _ in slabs:
+        slab = open_slab(uri)
+        f = _relu(x, slab, bias)
+        keep = f > floor[:, None]
+        if k is not None and len(slab.ids) > k:
+            cut = len(slab.ids) - k
+            keep &= f >= np.partition(f, cut, axis=1)[:, cut:cut + 1]
+        r, c = np.nonzero(keep)
+        rows, units, values = np.append(rows, r), np.append(units, slab.ids[c]), np.append(values, f[r, c])
+        if k is not None and len(r):
+            rows, units, values = _trim(rows, units, values, k)
+            full = np.flatnonzero(np.bincount(rows, minlength=len(x)) >= k)
+            if len(full):
+                floor[full] = np.maximum(limit, values[np.searchsorted(rows, full, side="right") - 1])
+    if k is None:
+        order = np.argsort(rows, kind="stable")
+        rows, units, values = rows[order], units[order], values[order]
+    return rows, units, values
 
 
 def encode(vectors, model, threshold=0.0, top_k_features=None, vec="vec"):
     """Units with ``relu((x - b_dec) . w_enc + b_enc)`` above the threshold, best k per sample.
 
-    One vector is one row, so threshold and trim need no shuffle: each Arrow batch is one
-    matrix product. Weights beyond the broadcast bound take the blocked form instead.
+    One vector is one row, so threshold and trim need no shuffle and no id: rows with a null or
+    repeated ``sample_id`` are rows of their own. NaN is never above a threshold.
     """
-    if not model.fits_broadcast:
-        return encode_blocked(vectors, model, threshold, top_k_features, vec)
     keep = [f for f in vectors.schema.fields if f.name != vec]
     names = [f.name for f in keep]
     out = T.StructType(keep + [T.StructField("feature_id", T.IntegerType()),
                                T.StructField("activation_value", T.DoubleType())])
     arrow = to_arrow_schema(out)
-    shared, limit = model.shared(), float(threshold)
+    slabs, bias, limit = model.slabs(), model.bias(), float(threshold)
 
     def run(batches):
-        ids, w_enc, _, b_enc, b_dec = shared.value
-        for batch in _slices(batches, len(ids)):
-            x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
-            f = _relu(x, w_enc, b_enc, b_dec)
-            keep_entry = f > limit
-            if top_k_features is not None and len(ids) > top_k_features:
-                cut = len(ids) - top_k_features
-                keep_entry &= f >= np.partition(f, cut, axis=1)[:, cut:cut + 1]
-            rows, cols = np.nonzero(keep_entry)
-            units, values = ids[cols], f[rows, cols]
-            if top_k_features is not None:
-                rows, units, values = _trim(rows, units, values, top_k_features)
+        for batch in _slices(batches, _widest(slabs, len(bias))):
+            x = matrix(batch.column(batch.schema.get_field_index(vec)), len(bias))
+            rows, units, values = _strongest(x, slabs, bias, limit, top_k_features)
             at = pa.array(rows)
             kept = [batch.column(batch.schema.get_field_index(n)).take(at) for n in names]
             columns = [c.cast(t) for c, t in zip(
@@ -137,86 +139,54 @@ def encode(vectors, model, threshold=0.0, top_k_features=None, vec="vec"):
     return spread(vectors).mapInArrow(run, out)
 
 
-def encode_blocked(vectors, model, threshold=0.0, top_k_features=None, vec="vec",
-                   sample="sample_id", samples_per_block=4096, units_per_block=1024):
-    """``encode`` for weights of any size: blocks of samples meet blocks of units."""
-    from sparselens.operators.activations import strongest_per_sample
-    from sparselens.plans.blocks import _block
-
-    keep = [f for f in vectors.schema.fields if f.name != vec]
-    names = [f.name for f in keep]
-    units = model.weights.select(F.col("feature_id").cast("int").alias("feature_id"), "w_enc", "b_enc") \
-        .withColumn("ub", _block("feature_id", units_per_block))
-    rows = vectors.withColumn("sb", _block(sample, samples_per_block))
-    last_u, zero = units.agg(F.max("ub")).scalar(), F.lit(0).cast("long")
-    first_s, last_s = (rows.agg(f("sb")).scalar() for f in (F.min, F.max))  # ids may be below zero
-    units = units.withColumn("sb", F.explode(F.sequence(first_s, last_s)))
-    rows = rows.withColumn("ub", F.explode(F.sequence(zero, last_u)))
-    bias, limit = model.bias(), float(threshold)
-    out = T.StructType(keep + [T.StructField("feature_id", T.IntegerType()),
-                               T.StructField("activation_value", T.DoubleType())])
-
-    def multiply(a, b):
-        if not len(a) or not len(b):
-            return a[names].iloc[:0].assign(feature_id=pd.Series(dtype="int32"),
-                                            activation_value=pd.Series(dtype="float64"))
-        f = _relu(_stack(a[vec]), _stack(b["w_enc"]), b["b_enc"].to_numpy("float64"), bias)
-        i, j = np.nonzero(f > limit)
-        hit = a[names].iloc[i].reset_index(drop=True)
-        return hit.assign(feature_id=b["feature_id"].to_numpy()[j], activation_value=f[i, j])
-
-    active = rows.groupBy("sb", "ub").cogroup(units.groupBy("sb", "ub")).applyInPandas(multiply, out)
-    return strongest_per_sample(active, top_k_features, sample=sample)
-
-
 def alive_units(vectors, model, threshold=schema.ACTIVATION_THRESHOLD, vec="vec"):
     """Distinct units above the threshold before any trim.
 
-    Each batch reports every unit once, so the result of the big pass is small.
+    Each task reports every unit once, so the result of the big pass is small.
     """
-    if not model.fits_broadcast:
-        return encode_blocked(vectors, model, threshold, None, vec).select("feature_id").distinct()
-    shared, limit = model.shared(), float(threshold)
+    slabs, bias, limit = model.slabs(), model.bias(), float(threshold)
     out = T.StructType([T.StructField("feature_id", T.IntegerType())])
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        ids, w_enc, _, b_enc, b_dec = shared.value
-        for batch in _slices(batches, len(ids)):
-            f = _relu(_matrix(batch.column(0), w_enc.shape[1]), w_enc, b_enc, b_dec)
-            hit = ids[(f > limit).any(axis=0)].astype("int32")
-            yield pa.RecordBatch.from_arrays([pa.array(hit)], schema=arrow)
+        seen = [np.zeros(units, bool) for _, units in slabs]
+        for batch in _slices(batches, _widest(slabs, len(bias))):
+            x = matrix(batch.column(0), len(bias))
+            for (uri, _), hit in zip(slabs, seen):
+                slab = open_slab(uri)
+                fresh = (_relu(x, slab, bias) > limit).any(axis=0) & ~hit
+                hit |= fresh
+                yield pa.RecordBatch.from_arrays([pa.array(slab.ids[fresh].astype("int32"))], schema=arrow)
 
     return spread(vectors.select(vec)).mapInArrow(run, out).distinct()
 
 
 def forward(vectors, model, vec="vec"):
     """Each vector with its active units (array of structs) and its reconstruction."""
-    if not model.fits_broadcast:
-        active = encode_blocked(vectors, model, 0.0, None, vec)
-        entries = active.groupBy("sample_id").agg(F.array_sort(F.collect_list(
-            F.struct("feature_id", "activation_value"))).alias("features"))
-        found = decode(active, vectors.select("sample_id"), model)
-        return vectors.join(entries, "sample_id", "left").join(found, "sample_id") \
-            .withColumn("features", F.coalesce("features", F.array().cast(_ENTRIES)))
     out = T.StructType(vectors.schema.fields + [
         T.StructField("features", _ENTRIES),
         T.StructField("reconstruction", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(out)
-    shared = model.shared()
+    slabs, bias = model.slabs(), model.bias()
 
     def run(batches):
-        ids, w_enc, w_dec, b_enc, b_dec = shared.value
-        for batch in _slices(batches, len(ids)):
-            x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
-            f = _relu(x, w_enc, b_enc, b_dec)
-            rows, cols = np.nonzero(f > 0)
-            offsets = np.searchsorted(rows, np.arange(len(x) + 1)).astype("int32")
+        for batch in _slices(batches, _widest(slabs, len(bias))):
+            x = matrix(batch.column(batch.schema.get_field_index(vec)), len(bias))
+            found, total = [], np.tile(bias, (len(x), 1))
+            for uri, _ in slabs:
+                slab = open_slab(uri)
+                f = _relu(x, slab, bias)
+                total += f @ slab.w_dec
+                rows, cols = np.nonzero(f > 0)
+                found.append((rows, slab.ids[cols], f[rows, cols]))
+            rows, units, values = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
+            order = np.argsort(rows, kind="stable")
+            offsets = np.searchsorted(rows[order], np.arange(len(x) + 1)).astype("int32")
             entries = pa.StructArray.from_arrays(
-                [pa.array(ids[cols].astype("int32")), pa.array(f[rows, cols])],
+                [pa.array(units[order].astype("int32")), pa.array(values[order].astype("float64"))],
                 names=["feature_id", "activation_value"])
             features = pa.ListArray.from_arrays(pa.array(offsets), entries)
-            columns = [*batch.columns, features, _lists(f @ w_dec + b_dec)]
+            columns = [*batch.columns, features, _lists(total)]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
@@ -233,55 +203,50 @@ def _lists(matrix):
                                     pa.array(np.ascontiguousarray(matrix).ravel()))
 
 
+def _add_units(total, rows, units, values, slab):
+    """Add each entry's decoder row to its row of ``total``; rows ascend, units the slab lacks add nothing."""
+    at = np.minimum(np.searchsorted(slab.ids, units), len(slab.ids) - 1)
+    known = np.flatnonzero(slab.ids[at] == units)
+    step = max(1, CELLS_AT_ONCE // max(total.shape[1], 1))
+    for lo in range(0, len(known), step):
+        some = known[lo:lo + step]
+        row = rows[some]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        total[row[first]] += np.add.reduceat(slab.w_dec[at[some]] * values[some, None], first, axis=0)
+
+
 def decode(activations, samples, model, sample="sample_id"):
     """``f . W_dec + b_dec`` per sample; a sample without active units gives ``b_dec``.
 
-    Units the weights don't have add nothing, repeated rows of a unit add up.
+    Units the weights don't have add nothing, repeated rows of a unit add up. A sample's entries
+    meet in one row; the weights are not moved.
     """
     entries = activations.groupBy(sample).agg(F.collect_list(
         F.struct(F.col("feature_id").cast("int").alias("feature_id"),
                  F.col("activation_value").cast("double").alias("activation_value"))).alias("features"))
     rows = samples.select(sample).join(entries, sample, "left") \
         .withColumn("features", F.coalesce("features", F.array().cast(_ENTRIES)))
-    if not model.fits_broadcast:
-        return _decode_joined(activations, samples, model, sample)
     out = T.StructType([rows.schema[sample],
                         T.StructField("reconstruction", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow_schema(out)
-    shared = model.shared()
+    slabs, bias = model.slabs(), model.bias()
 
     def run(batches):
-        ids, _, w_dec, _, b_dec = shared.value
-        for batch in _slices(batches, len(ids)):
+        for batch in _slices(batches, len(bias)):
             column = batch.column(1)
             entry = column.flatten()
             at = np.repeat(np.arange(len(column)),
                            column.value_lengths().to_numpy(zero_copy_only=False))
-            wanted = entry.field(0).to_numpy(zero_copy_only=False)
-            unit = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
-            known = ids[unit] == wanted if len(ids) else np.zeros(len(wanted), bool)
-            f = np.zeros((len(column), len(ids)))
-            np.add.at(f, (at[known], unit[known]), entry.field(1).to_numpy(zero_copy_only=False)[known])
+            units, values = (entry.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            total = np.tile(bias, (len(column), 1))
+            for uri, _ in slabs:
+                _add_units(total, at, units, values, open_slab(uri))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), _lists(f @ w_dec + b_dec).cast(arrow.types[1])], schema=arrow)
+                [batch.column(0), _lists(total).cast(arrow.types[1])], schema=arrow)
 
     return rows.mapInArrow(run, out)
 
 
-def _decode_joined(activations, samples, model, sample):
-    """Decode for weights of any size: join on the unit and sum per (sample, dimension)."""
-    decoder = "w_enc" if model.tied else "w_dec"
-    terms = (lookup_join(activations.select(sample, "feature_id", "activation_value"),
-                         model.weights.select("feature_id", F.col(decoder).alias("_w")), "feature_id")
-             .select(sample, "activation_value", F.posexplode("_w").alias("_dim", "_x"))
-             .groupBy(sample, "_dim").agg(F.sum(F.col("activation_value") * F.col("_x")).alias("_s"))
-             .groupBy(sample).agg(F.array_sort(F.collect_list(F.struct("_dim", "_s"))).alias("_t")))
-    bias = F.lit([float(b) for b in model.bias()])
-    sums = F.zip_with(F.transform("_t", lambda t: t["_s"]), bias, lambda a, b: a + b)
-    return samples.select(sample).join(terms, sample, "left").select(
-        sample, F.coalesce(sums, bias).alias("reconstruction"))
-
-
 def vectors_for_tokens(tokens, table, token="token_id", vec="vec"):
     """The vector of each token by its id; tokens without one are dropped."""
     return lookup_join(tokens, table.select(token, vec), token)
@@ -305,23 +270,24 @@ def normalise_rows(weights, column="w_dec"):
 
 def model_errors(vectors, model, vec="vec"):
     """``sample_errors`` in one pass over the vectors: only three numbers leave each batch row."""
-    if not model.fits_broadcast:
-        return sample_errors(forward(vectors, model, vec), vec)
     keep = [f for f in vectors.schema.fields if f.name != vec]
     names = [f.name for f in keep]
     out = T.StructType(keep + [T.StructField("squared_error", T.DoubleType()),
                                T.StructField("l1", T.DoubleType()), T.StructField("dim", T.IntegerType())])
     arrow = to_arrow_schema(out)
-    shared = model.shared()
+    slabs, bias = model.slabs(), model.bias()
 
     def run(batches):
-        ids, w_enc, w_dec, b_enc, b_dec = shared.value
-        for batch in _slices(batches, len(ids)):
-            x = _matrix(batch.column(batch.schema.get_field_index(vec)), w_enc.shape[1])
-            f = _relu(x, w_enc, b_enc, b_dec)
-            error = f @ w_dec + b_dec - x
+        for batch in _slices(batches, _widest(slabs, len(bias))):
+            x = matrix(batch.column(batch.schema.get_field_index(vec)), len(bias))
+            error, l1 = bias - x, np.zeros(len(x))
+            for uri, _ in slabs:
+                slab = open_slab(uri)
+                f = _relu(x, slab, bias)
+                error += f @ slab.w_dec
+                l1 += f.sum(axis=1)
             kept = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            columns = [*kept, pa.array((error * error).sum(axis=1)), pa.array(f.sum(axis=1)),
+            columns = [*kept, pa.array((error * error).sum(axis=1)), pa.array(l1),
                        pa.array(np.full(len(x), x.shape[1]))]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(t) for c, t in zip(columns, arrow.types)], schema=arrow)

@@ -255,8 +255,9 @@ def encode(spark, d):
 
 @register("P6_encode_blocked", "enc", f"""
     SELECT sample_id, count(*) AS n, {R('sum(activation_value)')} AS total FROM enc GROUP BY sample_id""")
-def encode_blocked(spark, d):
-    out = ae.encode_blocked(fr.samples(spark, d), fr.model(spark, d))
+def encode_in_slabs(spark, d):
+    model = ae.Autoencoder(fr.weights(spark, d), fr.zero_bias(spark, d), slab_cells=64 * 100)  # several slabs of 100 units
+    out = ae.encode(fr.samples(spark, d), model)
     return rounded(out.groupBy("sample_id").agg(
         F.count("*").alias("n"), F.sum("activation_value").alias("total")), "total")
 

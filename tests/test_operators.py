@@ -18,7 +18,7 @@ from sparselens.operators import resample as rs
 from sparselens.operators import splits as sp
 from sparselens.operators import text as tx
 from sparselens.operators import tokens as tk
-from sparselens.plans import joins, quantiles
+from sparselens.plans import joins, quantiles, slabs
 from sparselens.sources import catalog as cat
 
 ACT = "sample_id long, feature_id int, activation_value float, token_id int, chunk_id int"
@@ -297,10 +297,10 @@ def as_matrix(rows, shape):
     return m
 
 
-@pytest.mark.parametrize("cells,broadcast", [(8 << 20, 64 << 20), (60, 64 << 20), (60, 0)])
-def test_encode_decode_forward(spark, coder, monkeypatch, cells, broadcast):
+@pytest.mark.parametrize("cells,slab", [(8 << 20, 4 << 20), (60, 4 << 20), (60, 24), (8 << 20, 1)])
+def test_encode_decode_forward(spark, coder, monkeypatch, cells, slab):
     monkeypatch.setattr(ae, "CELLS_AT_ONCE", cells)
-    monkeypatch.setattr(ae, "BROADCAST_CELLS", broadcast)
+    monkeypatch.setattr(slabs, "SLAB_CELLS", slab)
     x, we, wd, be, bd, f = coder
     df, model = vecs(spark, x), model_of(spark, we, wd, be, bd)
     assert np.allclose(as_matrix(ae.encode(df, model).collect(), f.shape), f)
@@ -609,8 +609,8 @@ def test_decode_skips_unknown_units_and_adds_repeated_ones(spark, monkeypatch):
                                    "sample_id long, feature_id int, activation_value double")
     samples = spark.createDataFrame([(1,), (-2,)], "sample_id long")
     want = {1: [0.75, 3.25], -2: [0.25, 0.25]}
-    for cells in (ae.BROADCAST_CELLS, 0):
-        monkeypatch.setattr(ae, "BROADCAST_CELLS", cells)
+    for cells in (slabs.SLAB_CELLS, 2):
+        monkeypatch.setattr(slabs, "SLAB_CELLS", cells)
         got = {r["sample_id"]: list(r["reconstruction"]) for r in ae.decode(active, samples, ae.Autoencoder(weights, bias)).collect()}
         assert got == want
         vectors = spark.createDataFrame([(-5000, [1.0, 0.5]), (3, [0.0, 2.0])], "sample_id long, vec array<double>")
