@@ -13,20 +13,36 @@ def step_window(step, every=schema.RESAMPLE_EVERY):
     return F.floor((step - 1) / every)
 
 
+UNITS_A_WORD = 63  # bits of a positive long
+
+
+def fired_words(fired, every=schema.RESAMPLE_EVERY):
+    """Per step window, the units with a positive value as words of 63 bits: (step_window, word, bits)."""
+    unit = F.col("feature_id").cast("long")
+    bit = F.expr(f"shiftleft(1L, cast(pmod(cast(feature_id as bigint), {UNITS_A_WORD}) as int))")
+    return (fired.where(F.col("activation_value") > 0)
+            .groupBy(step_window(F.col("step"), every).cast("long").alias("step_window"),
+                     F.floor(unit / UNITS_A_WORD).cast("long").alias("word"))
+            .agg(F.bit_or(bit).alias("bits")))
+
+
 def dead_per_window(fired, steps, num_features, every=schema.RESAMPLE_EVERY):
-    """Units that never fire in a complete step window.
+    """Units that never fire in a complete step window: the bits missing from each window's words.
 
-    ``fired`` has (step, feature_id, activation_value); ``steps`` has every step done.
+    ``fired`` has (step, feature_id, activation_value); ``steps`` has every step done, so the
+    windows come from its rows and one row of each window lists the words of the declared units.
+    A window is complete once the last step lies at or past its end.
     """
     complete = F.floor(steps.agg(F.coalesce(F.max("step"), F.lit(0))).scalar() / every)
-    none = F.array().cast("array<bigint>")
-    windows = steps.sparkSession.range(1).select(complete.cast("long").alias("_n")).select(
-        F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
-                  .otherwise(none)).alias("step_window"))
-    units = windows.withColumn("feature_id", F.explode(F.sequence(F.lit(0), F.lit(num_features - 1))))
-    seen = (fired.where(F.col("activation_value") > 0)
-            .select(step_window(F.col("step"), every).alias("step_window"), "feature_id").distinct())
-    return units.join(seen, ["step_window", "feature_id"], "left_anti")
+    windows = steps.select(step_window(F.col("step"), every).cast("long").alias("step_window")).distinct().where(
+        (F.col("step_window") >= 0) & (F.col("step_window") < complete))
+    words = F.sequence(F.lit(0).cast("long"), F.lit(max(num_features - 1, 0) // UNITS_A_WORD).cast("long"))
+    seen = windows.withColumn("word", F.explode(words)).join(fired_words(fired, every), ["step_window", "word"], "left")
+    first = F.col("word") * UNITS_A_WORD
+    silent = F.filter(F.sequence(F.lit(0), F.lit(UNITS_A_WORD - 1)), lambda b: (
+        F.getbit(F.coalesce("bits", F.lit(0).cast("long")), b) == 0) & (first + b < num_features))
+    return (seen.select("step_window", first.alias("_first"), F.explode(silent).alias("_bit"))
+            .select("step_window", (F.col("_first") + F.col("_bit")).cast("int").alias("feature_id")))
 
 
 def error_intervals(errors, by=("batch",), sample="sample_id", error="squared_error"):

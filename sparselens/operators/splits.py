@@ -2,11 +2,11 @@
 
 import warnings
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparselens import schema
 from sparselens.functions.text import natural_key
+from sparselens.plans.numbering import number_rows
 from sparselens.plans.ordered import WIDTH, dense_index, rank_by_hash
 
 
@@ -36,14 +36,9 @@ def batch_index(df, order="sample_id", by=("split",), size=schema.TRAIN_BATCH, w
 
 
 def natural_order(files, name="file"):
-    """Distinct file names with their 0-based natural position.
-
-    One row per chunk file (hundreds of documents each), a list the driver could also hold,
-    so one window over all names is small.
-    """
-    keyed = files.select(name).distinct()
-    return keyed.withColumn("chunk_index", F.row_number().over(
-        Window.orderBy(natural_key(F.col(name)), F.col(name))) - 1)
+    """Distinct file names with their 0-based natural position, however many there are."""
+    numbered = number_rows(files.select(name).distinct(), [natural_key(F.col(name)), name], name="chunk_index")
+    return numbered.withColumn("chunk_index", F.col("chunk_index").cast("int"))
 
 
 def shard_files(files, workers, name="file"):

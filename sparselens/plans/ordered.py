@@ -7,8 +7,10 @@ window, so the work per task is bounded by ``width`` rows plus (rows / width) ra
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparselens.plans.joins import estimated_bytes, is_small
+from sparselens.plans.numbering import number_rows
 
 WIDTH = 1 << 16
 # Inputs beyond this estimate have so many ranges that their totals are summed in two steps.
@@ -58,10 +60,13 @@ def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
 
 
 def dense_index(df, order, by=(), name="idx", width=WIDTH):
-    """0-based position in unique integer ``order`` within ``by``, without a one-task sort.
+    """0-based position in unique ``order`` within ``by``, without a one-task sort.
 
-    A small input is numbered by a plain window.
+    A small input is numbered by a plain window, a large one by ranges of an integer key or, for
+    any other key, by sampled ranges.
     """
+    if not is_small(df) and not isinstance(df.schema[order].dataType, T.IntegralType):
+        return number_rows(df, [order], by, name)
     if is_small(df):
         place = F.row_number().over(Window.partitionBy(*by).orderBy(order))
         return df.withColumn(name, (place - 1).cast("long"))

@@ -1,6 +1,7 @@
 """Session settings the operators are tuned for, and the shared working folder."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -51,3 +52,14 @@ def settle(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def staged(df, name="stage"):
+    """The frame written as a table in the shared folder and read back: it is computed exactly once.
+
+    For results whose rows must not change between two readers (positions of a sampled range
+    partitioning), where ``checkpoint`` would compute them a second time.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

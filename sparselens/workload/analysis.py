@@ -1,7 +1,6 @@
 """Queries on the activations table: ranking, distributions, relations, text, reports."""
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparselens.functions import text as X
@@ -16,6 +15,7 @@ from sparselens.operators import splits as sp
 from sparselens.operators import text as tx
 from sparselens.plans.blocks import sparse_products
 from sparselens.plans.joins import lookup_join
+from sparselens.plans.numbering import number_rows
 from sparselens.plans.topk import top_k
 from sparselens.sources.catalog import memoise
 from sparselens.workload import frames as fr
@@ -463,10 +463,9 @@ def top_per_feature(spark, d):
     SELECT feature_id, CAST(row_number() OVER (ORDER BY num_activations DESC, feature_id) AS INTEGER) AS position FROM (
         SELECT feature_id, count(*) AS num_activations FROM li GROUP BY feature_id)""")
 def ranking_order(spark, d):
-    # one row per feature is left: a single window over the ranking is small
     ranking = ft.most_active_features(fr.line_activations(spark, d))
-    return ranking.select("feature_id", F.row_number().over(
-        Window.orderBy(F.desc("num_activations"), "feature_id")).alias("position"))
+    return number_rows(ranking, [F.desc("num_activations"), "feature_id"], name="at").select(
+        "feature_id", (F.col("at") + 1).cast("int").alias("position"))
 
 
 @register("K5_strongest_rows", "li", f"""
