@@ -6,6 +6,8 @@ from sparselens.operators.features import activation_quantile, for_feature, valu
 from sparselens.plans.blocks import dense_products, nearest_products, sparse_cross, sparse_products
 from sparselens.plans.joins import lookup_join
 from sparselens.plans.quantiles import exact_quantiles
+from sparselens.plans.similarity import similar_features as similarity_join
+from sparselens.plans.topk import top_k
 from sparselens.session import settle
 
 NAN = float("nan")
@@ -33,12 +35,8 @@ def co_occurring_features(act, feature_id, percentile=0.75):
         F.array_sort(F.collect_list("token_id")).alias("token_ids"))
 
 
-def co_occurrence_counts(act, probes=None, percentile=0.75, max_features=None):
-    """Co-occurrence counts for many probe features at once, without their token lists.
-
-    The count for (probe, other) is a product of two 0/1 matrices over tokens, computed in
-    blocks; pairs of features are never listed per token. ``probes=None`` takes every feature.
-    """
+def _probe_tokens(act, probes, percentile, max_features):
+    """Ones at (probe, token it is strong on) and at (feature, token it has)."""
     rows = act.select("feature_id", "token_id", value().alias("activation_value"))
     own = rows if probes is None else lookup_join(
         rows, probes.select("feature_id").distinct(), "feature_id", "left_semi",
@@ -47,13 +45,35 @@ def co_occurrence_counts(act, probes=None, percentile=0.75, max_features=None):
     strong = (lookup_join(own, cuts, "feature_id", max_rows=max_features, measure=True)
               .where(F.col("activation_value") >= F.col("threshold"))
               .select("feature_id", "token_id").distinct().withColumn("_one", F.lit(1.0)))
-    present = rows.select("feature_id", "token_id").distinct().withColumn("_one", F.lit(1.0))
+    return strong, rows.select("feature_id", "token_id").distinct().withColumn("_one", F.lit(1.0))
+
+
+def co_occurrence_counts(act, probes=None, percentile=0.75, max_features=None):
+    """Co-occurrence counts for many probe features at once, without their token lists.
+
+    The count for (probe, other) is a product of two 0/1 matrices over tokens, computed in
+    blocks; pairs of features are never listed per token. ``probes=None`` takes every feature.
+    """
+    strong, present = _probe_tokens(act, probes, percentile, max_features)
     counts = sparse_cross(strong, present, "token_id", "feature_id", "_one")
     return (counts.where(F.col("left_id") != F.col("right_id"))
             .select(F.col("left_id").alias("source_feature_id"), F.col("right_id").alias("feature_id"),
                     F.col("shared").alias("co_occurrence_count")))
 
 
+def strongest_co_occurrences(act, probes=None, percentile=0.75, max_features=None, top=None, cut=None):
+    """``co_occurrence_counts`` bounded where it is computed: each probe's ``top`` features by count
+    (lower ids first among equals), or those with at least ``cut`` shared tokens, or both."""
+    strong, present = _probe_tokens(act, probes, percentile, max_features)
+    own = F.col("left_id") == F.col("right_id")  # a probe is not its own partner: one more is asked for
+    found = similarity_join(strong, "token_id", "feature_id", "_one", present, cut, None if top is None else top + 1, cosine=False)
+    found = found.where(~own).select(F.col("left_id").alias("source_feature_id"), F.col("right_id").alias("feature_id"),
+                                     F.col("shared").alias("co_occurrence_count"))
+    if top is None:
+        return found
+    return top_k(found, "source_feature_id", [F.desc("co_occurrence_count"), F.col("feature_id")], top)
+
+
 # ---- similarity in token space ------------------------------------------------------
 
 def token_maxima(act):
@@ -115,12 +135,32 @@ def cosine_pairs(act):
 
 def correlation_pairs(act, max_features=None):
     """Centred cosine of all feature pairs i < j with a shared token; all other pairs are 0."""
+    return _from_products(
+        sparse_products(_centred_maxima(act, max_features), "token_id", "feature_id", "activation"), "correlation")
+
+
+def _centred_maxima(act, max_features=None):
     maxima = token_maxima(act)
     means = maxima.groupBy("feature_id").agg(F.avg("activation").alias("_mean"))
-    centred = lookup_join(maxima, means, "feature_id", max_rows=max_features, measure=True).select(
+    return lookup_join(maxima, means, "feature_id", max_rows=max_features, measure=True).select(
         "feature_id", "token_id", (F.col("activation") - F.col("_mean")).alias("activation"))
-    return _from_products(
-        sparse_products(centred, "token_id", "feature_id", "activation"), "correlation")
+
+
+def _bounded(entries, name, cut, top):
+    found = similarity_join(entries, "token_id", "feature_id", "activation", cut=cut, top=top)
+    named = [F.col("left_id").alias("feature_i"), F.col("right_id").alias("feature_j"), F.col("score").alias(name)]
+    return found.select(*named, *(["rank"] if top is not None else []))
+
+
+def similar_features(act, cut=None, top=None):
+    """Pairs i < j whose cosine is at least ``cut``, or every feature's ``top`` most similar ones (both
+    directions, with their ``rank``). Unlike ``cosine_pairs`` nothing grows with the square of the features."""
+    return _bounded(token_maxima(act), "cosine_similarity", cut, top)
+
+
+def correlated_features(act, cut=None, top=None, max_features=None):
+    """``similar_features`` by centred cosine. A feature that does not vary has no partner."""
+    return _bounded(_centred_maxima(act, max_features), "correlation", cut, top)
 
 
 def similarity_matrix(act, features):
@@ -176,6 +216,16 @@ def similarity_block(left, right, vec="w_dec"):
     return dense_products(left, right, "feature_id", "feature_id", vec)
 
 
+def similar_units(left, right=None, vec="w_dec", cut=None, top=None):
+    """Unit rows whose cosine is at least ``cut``, or each left row's ``top`` nearest: (left_id, right_id,
+    cosine_similarity). ``right=None`` compares the rows of one table."""
+    def entries(units):
+        return units.select("feature_id", F.posexplode(vec).alias("_dim", "_x"))
+
+    found = similarity_join(entries(left), "_dim", "feature_id", "_x", None if right is None else entries(right), cut, top)
+    return found.select("left_id", "right_id", F.col("score").alias("cosine_similarity"), *(["rank"] if top is not None else []))
+
+
 def nearest_alive(weights, dead, vec="w_dec", num_features=None):
     """Nearest alive unit of every dead and of every (other) alive unit.
 
