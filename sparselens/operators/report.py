@@ -11,6 +11,7 @@ from sparselens.plans.joins import lookup_join
 from sparselens.plans.ordered import WIDTH, dense_index, over_neighbours
 from sparselens.plans.quantiles import exact_quantiles
 from sparselens.session import settle
+from sparselens.sources.commits import commits, read_commit, write_commit
 
 NAN = float("nan")
 
@@ -60,10 +61,43 @@ def report_breakdown(act, selected, vocab, sample_size=1000, vocab_size=None, ma
         selected, "feature_id")
 
 
-def save_report(tables, path, mode="overwrite"):
-    """Write named report frames as parquet below ``path``."""
-    for name, frame in tables.items():
-        frame.write.mode(mode).parquet(f"{path}/{name}")
+def report_histograms(act, selected, bins=50, max_selected=None):
+    """Histogram of the values of every selected feature with its mean, median and group."""
+    rows = ft.for_listed_features(act, selected, max_selected)
+    centre = ft.distribution(rows).select("feature_id", "mean", "median")
+    return (equal_width_histogram(rows, bins=bins, by=["feature_id"], max_groups=max_selected)
+            .join(centre, "feature_id").join(selected, "feature_id"))
+
+
+def report_tables(act, vocab, labels=None, k=25, min_activations=10, contexts=25, sample_size=1000, vocab_size=None, labeller=None):
+    """All tables of a report by name, over the k most and k least selective features.
+
+    ``labels`` (feature_id, llm_label) come from the strongest contexts unless they are given.
+    """
+    selected, most = select_features(act, k, min_activations), 2 * k
+    top = report_top_activations(act, selected, vocab, contexts, vocab_size, labeller, most)
+    if labels is None:
+        top = settle(top)
+        labels = top.select("feature_id", "llm_label").distinct()
+    return {"summary": with_density(batch_summary(act, selected, labels, most), act),
+            "top_activations": top,
+            "co_occurring_features": report_co_occurrence(act, selected, most),
+            "token_type_breakdown": report_breakdown(act, selected, vocab, sample_size, vocab_size, most),
+            "activation_histograms": report_histograms(act, selected, max_selected=most)}
+
+
+def save_report(tables, path):
+    """Commit the named frames below ``path`` together under one version, whose id is returned."""
+    return write_commit(path, tables)
+
+
+def report_versions(path):
+    return commits(path)
+
+
+def read_report(spark, path, table, version=None):
+    """A table of a saved report, by default of its last complete version."""
+    return read_commit(spark, path, table, version)
 
 
 def monosemanticity(labels):

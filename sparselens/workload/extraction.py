@@ -14,6 +14,7 @@ from sparselens.operators import tokens as tk
 from sparselens.plans.ordered import dense_index
 from sparselens.session import shared_dir
 from sparselens.sources import catalog as cat
+from sparselens.sources import commits as cm
 from sparselens.streaming import incremental as inc
 from sparselens.workload import frames as fr
 from sparselens.workload.registry import joined, register, rounded
@@ -107,8 +108,8 @@ def vocabulary(spark, d):
     SELECT sample_id, feature_id, {R('activation_value')} AS activation_value, token_id, chunk_id FROM active""")
 def sink(spark, d):
     path = fresh(spark, "activations")
-    cat.write_activations(fr.activations(spark, d), path)
-    back = cat.read_activations(spark, path)
+    cm.finish_chunks(cat.typed_activations(fr.activations(spark, d)), fr.samples(spark, d), path)
+    back = cm.read_finished(spark, path)
     return rounded(back.select("sample_id", "feature_id", F.col("activation_value").cast("double")
                                .alias("activation_value"), "token_id", "chunk_id"), "activation_value")
 
@@ -150,9 +151,11 @@ def expand(spark, d):
 @register("S13_resume", "samples", """
     SELECT sample_id, chunk_id FROM samples WHERE chunk_id = (SELECT max(chunk_id) FROM samples)""")
 def resume(spark, d):
-    rows = fr.samples(spark, d)
-    done = rows.where(F.col("chunk_id") < rows.agg(F.max("chunk_id")).scalar())
-    return cat.pending_chunks(rows, done).select("sample_id", "chunk_id")
+    """All chunks but the last are extracted and committed; what is left comes from the log."""
+    rows, path = fr.samples(spark, d), fresh(spark, "chunks")
+    earlier = rows.where(F.col("chunk_id") < rows.agg(F.max("chunk_id")).scalar())
+    cm.finish_chunks(ac.active_entries(earlier), earlier, path)
+    return cm.pending_rows(rows, path).select("sample_id", "chunk_id")
 
 
 @register("S14_first_documents", "", "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 500")
