@@ -33,15 +33,29 @@ def strongest_per_sample(active, top_k_features=schema.FEATURES_PER_SAMPLE,
 def trimmed_entries(samples, threshold=schema.ACTIVATION_THRESHOLD,
                     top_k_features=schema.FEATURES_PER_SAMPLE, vec="vec"):
     """Threshold and per-sample trim of dense vectors in one row-wise step: no shuffle, no state."""
-    entries = F.transform(F.col(vec), lambda v, i: F.struct(
-        (-v.cast("double")).alias("neg"), i.alias("feature_id")))
-    strongest = F.slice(F.array_sort(F.filter(
-        entries, lambda e: ~F.isnan(e["neg"]) & (-e["neg"] > F.lit(float(threshold))))), 1, top_k_features)
     keep = [c for c in samples.columns if c != vec]
+    strongest = _strongest(vec, threshold, top_k_features)
     return samples.select(*keep, F.explode_outer(strongest).alias("_e")).where(F.col("_e").isNotNull()).select(
         *keep, F.col("_e.feature_id").alias("feature_id"), (-F.col("_e.neg")).alias("activation_value"))
 
 
+def _strongest(vec, threshold, top_k_features):
+    """Active entries of a dense vector as an array of (neg, feature_id), the strongest first; all in order of ids without a k."""
+    entries = F.transform(F.col(vec), lambda v, i: F.struct(
+        (-v.cast("double")).alias("neg"), i.alias("feature_id")))
+    active = F.filter(entries, lambda e: ~F.isnan(e["neg"]) & (-e["neg"] > F.lit(float(threshold))))
+    return active if top_k_features is None else F.slice(F.array_sort(active), 1, top_k_features)
+
+
+def nested_entries(samples, threshold=schema.ACTIVATION_THRESHOLD, top_k_features=schema.FEATURES_PER_SAMPLE, vec="vec"):
+    """Threshold and trim of dense vectors, one row a sample: ``features`` is an array of (feature_id,
+    activation_value). Samples without an active unit have an empty one."""
+    keep = [c for c in samples.columns if c != vec]
+    entries = F.transform(_strongest(vec, threshold, top_k_features), lambda e: F.struct(
+        e["feature_id"].alias("feature_id"), (-e["neg"]).alias("activation_value")))
+    return samples.select(*keep, entries.alias("features"))
+
+
 def alive_features(active):
     """Distinct units that fired."""
     return active.select("feature_id").distinct()
@@ -85,20 +99,27 @@ def activation_records(active, contexts, sample="sample_id"):
                     "context_token_ids", F.col("chunk_id").cast("int").alias("chunk_id")))
 
 
+def nested_records(nested, contexts, sample="sample_id"):
+    """``activation_records`` of samples with arrays of units: what meets the contexts is one row a
+    sample, and the records are written out behind the join."""
+    return (nested.where(F.size("features") > 0).join(contexts.select(sample, "context_token_ids"), sample)
+            .select(sample, "token_id", "chunk_id", "context_token_ids", F.explode("features").alias("_e"))
+            .select(sample, F.col("_e.feature_id").cast("int").alias("feature_id"), F.col("_e.activation_value").alias("activation_value"),
+                    F.col("token_id").cast("int").alias("token_id"), "context_token_ids", F.col("chunk_id").cast("int").alias("chunk_id")))
+
+
 def extract_activations(samples, model=None, threshold=schema.ACTIVATION_THRESHOLD,
                         top_k_features=schema.FEATURES_PER_SAMPLE,
                         window=schema.CONTEXT_WINDOW):
     """Vectors of all chunks to activation records.
 
     With a model the vectors are encoded, thresholded and trimmed in one pass over the
-    samples without a shuffle; only the narrow result meets the contexts. Without one the
+    samples without a shuffle; one short row a sample meets the contexts. Without one the
     vectors already hold unit values.
     """
     if model is not None:
-        from sparselens.operators.autoencoder import encode
-        active = encode(samples, model, threshold, top_k_features)
-    elif top_k_features is None:
-        active = active_entries(samples, threshold)
+        from sparselens.operators.autoencoder import encode_nested
+        nested = encode_nested(samples, model, threshold, top_k_features)
     else:
-        active = trimmed_entries(samples, threshold, top_k_features)
-    return activation_records(active, context_windows(samples, window))
+        nested = nested_entries(samples, threshold, top_k_features)
+    return nested_records(nested, context_windows(samples, window))

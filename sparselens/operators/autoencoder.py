@@ -139,6 +139,32 @@ def encode(vectors, model, threshold=0.0, top_k_features=None, vec="vec"):
     return spread(vectors).mapInArrow(run, out)
 
 
+def encode_nested(vectors, model, threshold=0.0, top_k_features=None, vec="vec"):
+    """``encode`` with one row a vector: ``features`` is an array of (feature_id, activation_value)."""
+    keep = [f for f in vectors.schema.fields if f.name != vec]
+    out = T.StructType([*keep, T.StructField("features", _ENTRIES)])
+    arrow = to_arrow_schema(out)
+    slabs, bias, limit = model.slabs(), model.bias(), float(threshold)
+
+    def run(batches):
+        for batch in _slices(batches, _widest(slabs, len(bias))):
+            x = matrix(batch.column(batch.schema.get_field_index(vec)), len(bias))
+            found = _strongest(x, slabs, bias, limit, top_k_features)
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]
+            columns = [c.cast(t) for c, t in zip([*kept, _entries(len(x), *found)], arrow.types)]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return spread(vectors).mapInArrow(run, out)
+
+
+def _entries(n, rows, units, values):
+    """Arrow lists of (feature_id, activation_value) for n rows; ``rows`` ascend."""
+    offsets = np.searchsorted(rows, np.arange(n + 1)).astype("int32")
+    entries = pa.StructArray.from_arrays([pa.array(units.astype("int32")), pa.array(values.astype("float64"))],
+                                         names=["feature_id", "activation_value"])
+    return pa.ListArray.from_arrays(pa.array(offsets), entries)
+
+
 def alive_units(vectors, model, threshold=schema.ACTIVATION_THRESHOLD, vec="vec"):
     """Distinct units above the threshold before any trim.
 
@@ -181,11 +207,7 @@ def forward(vectors, model, vec="vec"):
                 found.append((rows, slab.ids[cols], f[rows, cols]))
             rows, units, values = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, int),) * 3
             order = np.argsort(rows, kind="stable")
-            offsets = np.searchsorted(rows[order], np.arange(len(x) + 1)).astype("int32")
-            entries = pa.StructArray.from_arrays(
-                [pa.array(units[order].astype("int32")), pa.array(values[order].astype("float64"))],
-                names=["feature_id", "activation_value"])
-            features = pa.ListArray.from_arrays(pa.array(offsets), entries)
+            features = _entries(len(x), rows[order], units[order], values[order])
             columns = [*batch.columns, features, _lists(total)]
             yield pa.RecordBatch.from_arrays(
                 [c.cast(t) for c, t in zip(columns, arrow.types)], schema=arrow)

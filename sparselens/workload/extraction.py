@@ -441,8 +441,8 @@ def corpus_to_activations(spark, d):
     tokens = tokens.withColumn("vec_id", F.col("token_id") % vectors.agg(F.count("*")).scalar())
     samples = ae.vectors_for_tokens(tokens, vectors.withColumnRenamed("embedding", "vec"), "vec_id") \
         .select("sample_id", "token_id", "chunk_id", "vec")
-    active = ae.encode(samples, fr.model(spark, d), 0.07, 25)
-    out = ac.activation_records(active, ac.context_windows(tokens))
+    active = ae.encode_nested(samples, fr.model(spark, d), 0.07, 25)
+    out = ac.nested_records(active, ac.context_windows(tokens))
     context = F.col("context_token_ids")
     return rounded(out.groupBy("feature_id").agg(
         F.count("*").alias("n"), F.sum("activation_value").alias("total"), F.count_distinct("token_id").alias("tokens"),

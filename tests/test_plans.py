@@ -113,3 +113,45 @@ def test_rows_of_keys_alone_are_spread(spark):
     big = spark.range(1000, numPartitions=8).select(F.lit(1).alias("k"))
     out = salted_join(big, spark.createDataFrame([(1, "x")], "k int, v string"), ["k"], salts=4)
     assert out.count() == 1000
+
+
+@pytest.fixture
+def tight(monkeypatch):
+    """No shortcut for small inputs, and cells of at most 50 rows."""
+    from sparselens.plans import joins, quantiles
+    for name in ("SMALL_INPUT", "BROADCAST_BYTES", "BROADCAST_ROWS"):
+        monkeypatch.setattr(joins, name, -1)
+    monkeypatch.setattr(quantiles, "MOST_ROWS", 50)
+    return quantiles
+
+
+def test_close_doubles_are_refined_until_few_rows_are_left(spark, tight, monkeypatch):
+    """Thousands of doubles within one part in ten million, copies, and a group of one repeated value."""
+    rng = np.random.default_rng(3)
+    close = (1.5 + rng.random(4_000) * 1e-7).tolist()
+    data = [("close", v) for v in close] + [("close", close[7])] * 500 + [("same", 2.25)] * 900 + [("two", v) for v in (1.0, 1.0 + 2.0 ** -52) for _ in range(300)]
+    data += [(None, float(v)) for v in rng.normal(size=300) * 1e9]
+    df = spark.createDataFrame(data, "g string, v double").repartition(5)
+    ranked, largest = tight._ranked, []
+
+    def seen(rows, small):
+        largest.append(small.agg(F.coalesce(F.max("_c"), F.lit(0))).first()[0])
+        return ranked(rows, small)
+
+    monkeypatch.setattr(tight, "_ranked", seen)
+    probs = {"low": 0.001, "p25": 0.25, "mid": 0.5, "top": 0.9993}
+    got = {r.g: r for r in tight.exact_quantiles(df, ["g"], "v", probs, count_name="n").collect()}
+    for g in ("close", "same", "two", None):
+        own = np.array([v for k, v in data if k == g])
+        assert got[g].n == len(own)
+        for name, p in probs.items():
+            assert got[g][name] == pytest.approx(np.quantile(own, p), rel=1e-15), (g, name)
+    assert max(largest) <= 50 and len(largest) >= 3
+
+
+def test_infinite_neighbours_of_a_rank(spark, monkeypatch):
+    from sparselens.plans.quantiles import exact_quantiles
+    inf = float("inf")
+    df = spark.createDataFrame([(1, v) for v in (-inf, 1.0, inf)] + [(2, v) for v in (-inf, -inf, 3.0, float("nan"))], "g int, v double")
+    small, large = both_plans(spark, monkeypatch, lambda: exact_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.75, "d": 0.9}))
+    assert small == large

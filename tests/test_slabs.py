@@ -131,3 +131,31 @@ def test_slabs_of_a_store_that_is_not_mounted(spark, monkeypatch, tmp_path):
     slabs._loaded.cache_clear()
     got = slabs._loaded(uri)
     assert len(got.ids) == units and np.allclose(got.w_enc, enc[got.ids])
+
+
+@pytest.mark.parametrize("k", [None, 3])
+def test_nested_rows_hold_the_same_entries(spark, k):
+    from pyspark.sql import functions as F
+    coder, *_ = model(spark, cells=12)
+    df, _ = samples(spark)
+    flat = sorted((r.other, r.feature_id, r.activation_value) for r in ae.encode(df, coder, 0.2, k).collect())
+    nested = ae.encode_nested(df, coder, 0.2, k)
+    assert nested.count() == 40
+    rows = nested.select("other", F.inline("features")).collect()
+    assert sorted((r.other, r.feature_id, r.activation_value) for r in rows) == flat
+
+
+def test_records_move_one_row_a_sample(spark):
+    """What is shuffled for the contexts is a row a sample, not a row a unit."""
+    from pyspark.sql import functions as F
+    from sparselens.operators import activations as ac
+    df = spark.createDataFrame([(i, i % 7, i // 30, [float((i * k) % 11) / 10 for k in range(40)]) for i in range(90)],
+                               "sample_id long, token_id int, chunk_id int, vec array<double>")
+    got = sorted(map(str, ac.extract_activations(df, threshold=0.4, top_k_features=5).collect()))
+    old = ac.activation_records(ac.trimmed_entries(df, 0.4, 5), ac.context_windows(df))
+    assert got == sorted(map(str, old.collect())) and len(got) > 400
+    whole = ac.extract_activations(df, threshold=0.4, top_k_features=None)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, ac.activation_records(ac.active_entries(df, 0.4), ac.context_windows(df)).collect()))
+    plan = ac.extract_activations(df, threshold=0.4)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    first = {what: next(k for k, line in enumerate(plan) if what in line) for what in ("Generate explode", "Join Inner")}
+    assert first["Generate explode"] < first["Join Inner"]  # the records are written out above the join
