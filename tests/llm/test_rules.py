@@ -56,24 +56,65 @@ def test_license_units(make_docs):
     assert got == {(1, "MIT"), (2, "MIT"), (4, "Apache-2.0"), (None, "CC-BY-NC-4.0")}
 
 
+def best_license(unit):
+    """The best template by plain sets: Dice, and the words and numbers that tell licenses apart."""
+    a, told, found = set(licenses.bigrams(unit)), licenses.telling(unit)[0], []
+    for k, (name, grams, words, numbers) in enumerate(licenses.template_rows()):
+        dice = 2 * len(a & set(grams)) / (len(a) + len(grams))
+        if a and dice >= licenses.DICE and told == words and set(numbers) <= set(licenses.words_of(unit)):
+            found.append((-dice, k, name))
+    return min(found)[2] if found else None
+
+
 def test_pruning_loses_no_license(make_docs):
-    """Every template with words taken out or added, against Dice over all templates."""
+    """Every template with words taken out or added, against the best of all templates."""
     rng, rows = random.Random(6), []
     for _, texts in licenses.TEMPLATES.items():
         for t in texts:
             for _ in range(12):
                 words = t.split()
                 for _ in range(rng.randint(0, max(1, len(words) // 3))):
-                    words.insert(rng.randint(0, len(words)), rng.choice(["foo", "the", "license"])) if rng.random() < 0.5 else words.pop(rng.randrange(len(words)))
+                    words.insert(rng.randint(0, len(words)), rng.choice(["foo", "the", "license", "lesser", "3"])) if rng.random() < 0.5 else words.pop(rng.randrange(len(words)))
                 rows.append((len(rows), " ".join(words)))
     want = set()
     for i, t in rows:
         for unit in {t, *re.sub(r"([.!?;|%&$#*])[ \t]+", "\\1\n", t).split("\n")}:
-            a = set(licenses.bigrams(unit))
-            want |= {(i, n) for n, b in licenses.templates() if a and 2 * len(a & set(b)) / (len(a) + len(b)) >= licenses.DICE}
+            want |= {(i, best_license(unit))} if best_license(unit) else set()
+    assert {(r["doc_id"], r["license"]) for r in licenses.license_scan(make_docs(rows)).collect()} == want
+
+
+def test_every_template_names_its_own_license_only(make_docs):
+    """Also shouted, in a comment block, and wrapped at any width."""
+    import textwrap
+    rows, want = [], set()
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for width in (None, 30, 50, 72):
+                lines = [t] if width is None else textwrap.wrap(t, width)
+                for mark in ("", "// ", " * ", "# "):
+                    want.add((len(rows), name))
+                    rows.append((len(rows), "Some prose before it.\n\n" + "\r\n".join(mark + x for x in lines) + "\n\nAnd prose after.".upper()))
     assert {(r["doc_id"], r["license"]) for r in licenses.license_scan(make_docs(rows)).collect()} == want
 
 
+def test_licenses_of_one_family_are_told_apart(make_docs):
+    rows = [(1, "Licensed under the GNU General Public License, version 2"), (2, "This work, all of it, is licensed under the GNU General Public License, version 3."),
+            (3, "This work is licensed under the GNU Lesser General Public License, version 3."), (4, "Licensed under CC BY-SA 4.0."), (5, "Licensed under CC BY 3.0."),
+            (6, "Licensed under the Apache License, Version 1.1."), (7, "Licensed under the GNU General Public License V3.0"), (8, "Licensed under CC BY-NC-SA 4.0."),
+            (9, "Licensed under the GNU Affero General Public License, version 3. Parts are licensed under the MIT License.")]
+    got = {}
+    for r in licenses.license_scan(make_docs(rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    assert got == {1: {"GPL-2.0"}, 2: {"GPL-3.0"}, 3: {"LGPL-3.0"}, 4: {"CC-BY-SA-4.0"}, 7: {"GPL-3.0"}, 9: {"AGPL-3.0", "MIT"}}
+
+
+def test_one_license_a_planted_notice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {"apache license": "Apache-2.0", "mit license": "MIT", "general public license, version 3": "GPL-3.0", "cc by-nc 4.0": "CC-BY-NC-4.0"}
+    want = {(r["doc_id"], name) for r in docs.collect() for notice, name in planted.items() if notice in r["text"].lower()}
+    assert {(r["doc_id"], r["license"]) for r in licenses.license_scan(docs).collect()} == want and len(want) == 39
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
