@@ -6,16 +6,20 @@
    A'(A O) for a random O, and the singular directions come from that sum (Nystroem form), so
    one pass over the passages is enough.
 3. Items and windows of documents are folded into the latent space. Windows come in lengths that
-   fit the items (powers of the square root of two), a quarter of a window apart. A common subsequence
-   takes its words from both sides, each as often as both have it, so only pairs of a window (with some
-   slack) and an item with as many words in common as step 4 asks for are compared: that loses no leak.
-   Pairs with a latent cosine of at least ``COSINE`` are candidates.
+   fit the items (powers of the square root of two), half a window apart; with its slack on both sides
+   one of them holds any passage of that length whole. A common subsequence takes its words from both
+   sides, each as often as both have it, so only pairs of a window with slack and an item with as many
+   words in common as step 4 asks for are compared: that loses no leak. Pairs are candidates when the
+   window, or the same window a quarter of its length earlier or later, has a latent cosine of at least
+   ``COSINE`` with the item.
 4. A candidate is a leak when the longest common subsequence of the item and the window (with some
    slack) has ``COPY`` of the item's words, or ``PARAPHRASE`` of them and the item's answer: the words
    after its last "answer:", or its last words, in order. Items of under ``SHORT`` words need all words.
 
-The benchmark is a stated query set; it is worked through in blocks of ``BLOCK`` items, each against
-all documents. What a task holds of a block grows with the block's words, not with the corpus.
+The benchmark is a stated query set. Its words, their frequencies and the latent space are those of all
+items; the search works through the items in blocks of ``BLOCK``, each against all documents, so rows and
+cosines are the same for every block size. A task holds the benchmark's distinct words with ``RANK``
+numbers each, and one block's items; neither grows with the corpus.
 
 Nulls: a null text has no words and no leak; items with a null or empty text or a null id find nothing;
 a null ``doc_id`` is kept. Repeated items are found once per ``item_id`` and text; repeated rows give
@@ -209,7 +213,11 @@ class Bags:
         for words, answer in items:
             least = int(np.ceil(PARAPHRASE * len(words))) if len(words) >= SHORT else len(words)
             self.items.append((self.rows(words), len(words), least, self.rows(answer), len(answer)))
-        self.word, self.times = map(np.array, zip(*self.levels))
+        word, times = map(np.array, zip(*self.levels))
+        order = np.lexsort((word, times))  # the rows of single words come first, in the order of words
+        self.more, self.times = word[order][len(found):], times[order][len(found):]
+        place = np.argsort(order)
+        self.items = [(place[rows], n, least, place[answer_rows], answer) for rows, n, least, answer_rows, answer in self.items]
 
     def rows(self, words):
         """The rows of each word, as often as it is there."""
@@ -221,20 +229,20 @@ class Bags:
         ``left`` and ``right`` ascend."""
         places = self.place[codes]
         known = np.flatnonzero(places < self.place[-1])
-        kind = np.int16 if max(n for _, n, *_ in self.items) < 1 << 15 else np.int32
+        longest = max(n for _, n, *_ in self.items)
+        kind = np.uint8 if longest < 1 << 8 else np.uint16 if longest < 1 << 16 else np.uint32
         open_ = np.flatnonzero(np.searchsorted(known, right) - np.searchsorted(known, left) >= min(least for _, _, least, _, _ in self.items))
-        most = max(16, CELLS // len(self.word))
+        most = max(16, CELLS // len(self.levels))
         for lo in range(0, len(open_), most):
             part = open_[lo:lo + most]
             at = known[np.searchsorted(known, left[part[0]]):np.searchsorted(known, right[part[-1]])]
             begin, stop = np.searchsorted(right[part], at, side="right"), np.searchsorted(left[part], at, side="right")
             used = begin < stop
             own, width = places[at[used]].astype(np.int64), len(part) + 1
-            change = np.zeros(int(self.place[-1]) * width, np.int32)
-            np.add.at(change, own * width + begin[used], 1)
-            np.add.at(change, own * width + stop[used], -1)
+            cells = int(self.place[-1]) * width
+            change = np.bincount(own * width + begin[used], minlength=cells) - np.bincount(own * width + stop[used], minlength=cells)
             held = np.cumsum(change.reshape(-1, width)[:, :-1], axis=1, dtype=np.int32)
-            held = (held[self.word] >= self.times[:, None]).astype(kind)
+            held = np.concatenate([held > 0, held[self.more] >= self.times[:, None]]).view(np.uint8)
             windows, items = [], []
             for i, (rows, n, least, answer_rows, answer) in enumerate(self.items):
                 common = np.add.reduce(held[rows], axis=0, dtype=kind)
@@ -268,16 +276,19 @@ class Searcher:
 
     def candidates(self, codes, bounds, length):
         """(document, start and end of the window with slack, item place, cosine) above COSINE."""
-        step, size, slack = max(1, length // 4), np.diff(bounds), length // 4 + 1
+        step, size, slack = max(1, length // 2), np.diff(bounds), length // 4 + 1
         count = np.where(size > 0, 1 + np.maximum(0, -(-(size - length) // step)), 0)
         doc = np.repeat(np.arange(len(size)), count)
         start = bounds[:-1][doc] + step * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-        end = np.minimum(start + length, bounds[1:][doc])
-        left, right = np.maximum(start - slack, bounds[:-1][doc]), np.minimum(end + slack, bounds[1:][doc])
+        first, stop = bounds[:-1][doc], bounds[1:][doc]
+        left, right = np.maximum(start - slack, first), np.minimum(start + length + slack, stop)
         for w, item in self.bags[length].pairs(codes, left, right):
             used, place = np.unique(w, return_inverse=True)
-            rows = self.unit(folded(codes, start[used], end[used] - start[used], self.weights))
-            cosine = np.einsum("ij,ij->i", rows[place], self.latent[length][item])
+            cosine = np.full(len(w), -1.0, np.float32)
+            for move in (-(length // 4), 0, length // 4):
+                begin = np.minimum(np.maximum(start[used] + move, first[used]), np.maximum(stop[used] - length, first[used]))
+                rows = self.unit(folded(codes, begin, np.minimum(begin + length, stop[used]) - begin, self.weights))
+                cosine = np.maximum(cosine, np.einsum("ij,ij->i", rows[place], self.latent[length][item]))
             near = cosine >= COSINE
             w, item = w[near], item[near]
             yield from zip(doc[w].tolist(), left[w].tolist(), right[w].tolist(), item.tolist(), cosine[near].tolist())
@@ -305,12 +316,16 @@ class Searcher:
         return [(doc, item, *hit) for (doc, item), hit in sorted(found.items())]
 
 
-def blocks(benchmark, size=BLOCK):
-    """The benchmark's items, ``size`` at a time."""
-    rows = staged(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct(), "benchmark")
+def usable(benchmark):
+    """Distinct items with an id and a text, staged."""
+    return staged(benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct(), "benchmark")
+
+
+def blocks(items, size=BLOCK):
+    """The items, ``size`` at a time."""
     last = None
     while True:
-        more = rows if last is None else rows.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]).alias("item_id"), F.lit(last[1]).alias("text")))
+        more = items if last is None else items.where(F.struct("item_id", "text") > F.struct(F.lit(last[0]).alias("item_id"), F.lit(last[1]).alias("text")))
         block = [tuple(r) for r in more.orderBy("item_id", "text").limit(size).collect()]
         if not block:
             return
@@ -318,15 +333,30 @@ def blocks(benchmark, size=BLOCK):
         last = block[-1]
 
 
+def vocabulary_of(items):
+    """The distinct words of all items, found in the tasks; None without any."""
+    def run(batches):
+        for batch in sliced(batches, 0):
+            found = [w for _, words, answer in items_of(enumerate(batch.column(0).to_pylist())) for w in (words, answer)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64))], ["word"])
+
+    words = items.select("text").mapInArrow(run, "word long").distinct().toPandas()["word"].to_numpy("int64")
+    return Vocabulary(np.sort(words.view(np.uint64))) if len(words) else None
+
+
 def searchers(docs, benchmark):
-    """(searcher, coded documents) of each block, fitted on all documents."""
-    for block in blocks(benchmark):
-        items = items_of(block)
-        if items:
-            vocabulary = Vocabulary(np.unique(np.concatenate([w for _, words, answer in items for w in (words, answer)])))
-            coded = coded_table(docs, vocabulary)
-            idf = idf_of(coded, vocabulary)
-            yield Searcher(items, vocabulary, idf, directions(coded, vocabulary, idf)), coded
+    """(searcher, coded documents) of each block, all with the words and directions of the whole benchmark."""
+    items = usable(benchmark)
+    vocabulary = vocabulary_of(items)
+    if vocabulary is None:
+        return
+    coded = coded_table(docs, vocabulary)
+    idf = idf_of(coded, vocabulary)
+    latent = directions(coded, vocabulary, idf)
+    for block in blocks(items):
+        found = items_of(block)
+        if found:
+            yield Searcher(found, vocabulary, idf, latent), coded
 
 
 def find_leaks(docs, benchmark):

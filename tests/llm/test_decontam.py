@@ -52,9 +52,22 @@ def test_every_verbatim_copy_in_the_table(spark, small):
 
 
 def test_blocks_find_the_same(case, monkeypatch):
+    """Rows, cosines and overlaps do not depend on the size of a block."""
     docs, bench, want = case
+    whole = sorted(map(str, decontam.find_leaks(docs, bench).collect()))
     monkeypatch.setattr(decontam.blocks, "__defaults__", (5,))
-    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()} == want
+    found = decontam.find_leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want and sorted(map(str, found)) == whole
+
+
+def test_a_window_with_slack_holds_any_passage():
+    """Half a window apart, with slack: a passage of a window's length lies in one of them, wherever it starts."""
+    for length in (8, 12, 16, 17, 23, 33, 46, 65, 91):
+        step, slack = max(1, length // 2), length // 4 + 1
+        for size in (length, length + 1, 3 * length + 2, 200):
+            starts = np.arange(1 + max(0, -(-(size - length) // step))) * step
+            for x in range(max(1, size - length + 1)):
+                assert any(max(0, s - slack) <= x and x + length <= min(size, s + length + slack) or size < length for s in starts)
 
 
 def test_nothing_to_find(odd_docs, no_docs, case, spark):
