@@ -124,12 +124,14 @@ def labelled_sample(docs, labels, columns, limit):
     """At most ``limit`` labelled documents, those with the lowest hash of their id, all columns
     of ``docs`` and the label columns, as a staged table. Labels with a null are left out; of
     repeated labels the largest counts. The sample's keys are at most ``limit`` rows, so they
-    are broadcast; of documents with one id the one with the lowest text is taken."""
+    are broadcast; of documents with one id the one with the lowest text is taken (ties: the lowest
+    row; nulls come first)."""
     known = labels.dropna(subset=["doc_id", *columns]).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(
         *(F.max(c).alias(f"_{c}") for c in columns))
     chosen = staged(known.orderBy(F.xxhash64("_id"), "_id").limit(limit), "labels")
-    return staged(docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id"))
-                  .dropDuplicates(["_id"]), "labelled")
+    least = F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row")
+    rows = docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).groupBy(*chosen.columns).agg(least)
+    return staged(rows.select("row.*", *chosen.columns), "labelled")
 
 
 def sums(frame, columns, make, name="sums"):

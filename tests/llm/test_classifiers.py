@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparselens.llm import cotrain, mixing, toxicity
-from sparselens.llm.textmodel import Logistic, Words, pieces
+from sparselens.llm.textmodel import Logistic, Words, labelled_sample, pieces
 
 SF = "/root/testdata/sf0.1"
 
@@ -36,6 +36,70 @@ def test_quality_of_held_out_documents(tables, split):
     assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
 
 
+def plain_cotraining(docs, labels, pieces):
+    """Co-training over rows in memory: ranks in place of cells and cuts, sums over whole matrices."""
+    import pyarrow as pa
+    columns = [pa.array(docs[c], t) for c, t in (("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))]
+    bits, numbers, places = cotrain.features(*columns, pieces)
+    views, group = cotrain.view_matrices(bits, numbers, places), [tuple(p) for p in places]
+    y = np.array([labels.get(d, -1) for d in docs.doc_id])
+    kept_back = (y >= 0) & (docs.doc_id.to_numpy() % 104_729 % 5 == 0)
+    learn, free = (y >= 0) & ~kept_back, y < 0
+    models, given = [cotrain.View(x[learn]) for x in views], [np.full(len(y), -1) for _ in views]
+    for step in range(cotrain.ROUNDS + 1):
+        for m, x, g in zip(models, views, given):
+            use = g >= 0
+            w = cotrain.WEIGHT * learn.sum() / (learn.sum() + use.sum())
+            for _ in range(cotrain.NEWTON if step else cotrain.FIRST):
+                if m.step(m.slopes(x[learn], y[learn]) + w * m.slopes(x[use], g[use]), learn.sum() + w * use.sum()) < 1e-3:
+                    break
+        if step == cotrain.ROUNDS:
+            break
+        for v in (0, 1):
+            kind, cell = cotrain.confidence(models[v], views[v])
+            for s in set(group):
+                inside = np.array([g == s for g in group]) & free
+                for k in (0, 1):
+                    for i in np.flatnonzero(inside & (given[1 - v] < 0) & (cell >= 0) & (kind == k)):
+                        given[1 - v][i] = -2 - int(cell[i])  # waits until its rank is known
+                    waiting = np.flatnonzero(given[1 - v] < -1)
+                    sure = -2 - given[1 - v][waiting]
+                    surer = np.array([(sure > c).sum() for c in sure])
+                    given[1 - v][waiting] = np.where(surer < cotrain.SHARE * inside.sum(), k, -1)
+    return models, given
+
+
+def test_exchange_equals_plain_rounds(spark):
+    """Every unlabelled document takes part; cuts, labels and fits equal those of rows in memory."""
+    small = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet").where("doc_id % 3 = 0")
+    pieces, fitted, table = cotrain.fit_quality(docs, labels)
+    rows = docs.toPandas().sort_values("doc_id", ignore_index=True)
+    models, given = plain_cotraining(rows, {r["doc_id"]: int(r["quality"] > 0) for r in labels.where("quality is not null").collect()}, pieces)
+    assert all((g >= 0).sum() > 100 for g in given) and table.count() == len(rows)
+    for mine, plain in zip(fitted.models, models):
+        assert np.abs(mine.w - plain.w).max() < 0.02
+
+
+def test_rare_strata_hand_over_and_ties_stay_together():
+    counts = np.zeros((2, 2, cotrain.PLACES ** 2, cotrain.CELLS))
+    counts[0, 1, 3, [5, 9, 20]] = 500, 60, 70  # 20: 70, then 9 as 70 < 100, not 5
+    counts[0, 0, 7, 0] = 1  # a stratum of three documents hands over its only sure one
+    rows = np.zeros(cotrain.PLACES ** 2)
+    rows[[3, 7]] = 1_000, 3
+    cuts, taught = cotrain.choose_cuts(np.append(counts.ravel(), rows))
+    assert cuts[0, 1, 3] == 9 and cuts[0, 0, 7] == 0 and list(taught) == [0, 131]
+
+
+def test_labelled_sample_of_repeated_ids_is_the_lowest_row(spark):
+    rows = [(1, "b", "x"), (1, "a", "z"), (1, "a", "y"), (2, "c", None), (2, None, "q"), (3, "d", "e")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string")
+        known = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (4, 1)], "doc_id long, quality int")
+        got = labelled_sample(docs, known, ["quality"], 10).select("doc_id", "text", "lang", "_quality").collect()
+        assert sorted(map(tuple, got)) == [(1, "a", "y", 1), (2, None, "q", 1)]
+
+
 def test_mixing_meets_its_targets(tables):
     docs, labels = tables
     got = mixing.mixing_rates(docs, labels).toPandas()
