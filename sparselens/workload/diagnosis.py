@@ -36,7 +36,7 @@ def firing_rates(spark, d):
     SELECT CAST(feature_id AS INTEGER) AS feature_id, {R('sum((n = 2)::int) / count(*)')} AS jaccard FROM u GROUP BY feature_id""")
 def stability(spark, d):
     """Strongest samples of the raw units against those of the encoder with the same ids."""
-    coded = ae.encode(fr.samples(spark, d), fr.model(spark, d))
+    coded = ae.encode(fr.samples(spark, d), fr.model(spark, d), top_k_samples=K)
     return rounded(dg.top_stability(fr.active(spark, d), coded, K), "jaccard")
 
 

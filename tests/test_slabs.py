@@ -159,3 +159,41 @@ def test_records_move_one_row_a_sample(spark):
     plan = ac.extract_activations(df, threshold=0.4)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     first = {what: next(k for k, line in enumerate(plan) if what in line) for what in ("Generate explode", "Join Inner")}
     assert first["Generate explode"] < first["Join Inner"]  # the records are written out above the join
+
+
+def test_mapped_slabs_are_let_go(spark, tmp_path):
+    coder = model(spark, cells=4 * 2)[0]
+    for uri, _ in coder.slabs():
+        assert len(slabs.open_slab(uri).ids) == 2
+    assert len(coder.slabs()) == 10 and slabs._mapped.cache_info().currsize + slabs._loaded.cache_info().currsize <= 2
+
+
+def test_untrimmed_entries_of_a_slab_leave_at_once(spark):
+    """Entries of all slabs were held for every row of a slice before anything left, sorted by row."""
+    from pyspark.sql import functions as F
+    coder = model(spark, units=50, cells=4 * 7)[0]
+    got = ae.encode(samples(spark)[0], coder).withColumn("at", F.monotonically_increasing_id()).orderBy("at").collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r.at >> 33, []).append((r.feature_id // 7, r.other))
+    assert max(len({other for _, other in t}) for t in tasks.values()) > 1
+    for t in tasks.values():
+        assert [slab for slab, _ in t] == sorted(slab for slab, _ in t)
+
+
+@pytest.mark.parametrize("held", [1, 1 << 20])
+def test_rows_of_a_unit_are_trimmed_in_the_task(spark, monkeypatch, held):
+    from pyspark.sql import functions as F
+
+    from sparselens.operators.features import top_activations_per_feature
+    monkeypatch.setattr(ae, "VECTORS_HELD", held)
+    coder = model(spark, units=30, cells=4 * 7)[0]
+    x = np.random.default_rng(5).normal(size=(20, 4))
+    rows = [(None if i == 33 else i // 2 * 7 % 50, x[i % 20].tolist()) for i in range(300)]  # many equal vectors
+    df = spark.createDataFrame(rows, "sample_id long, vec array<double>").repartition(2)
+    every, few = ae.encode(df, coder), ae.encode(df, coder, top_k_samples=5)
+    tops = [sorted(map(tuple, top_activations_per_feature(e.withColumn("activation_value", F.round("activation_value", 9)), 5).collect()), key=str)
+            for e in (every, few)]
+    assert tops[0] == tops[1] and few.count() < every.count() / 2
+    with pytest.raises(ValueError):
+        ae.encode(df, coder, 0.0, 3, top_k_samples=5)
