@@ -3,38 +3,22 @@
 Features are cut into blocks and rows into strips. For each block and strip the largest length of a
 feature's part is known, so by Cauchy-Schwarz the products of two blocks are bounded by the sum over
 strips of the products of these lengths; block pairs below the cut are never computed. The others
-are accumulated strip by strip in one task, which holds one block-by-block result and one strip of
-each side, and keeps what passes the cut or a heap of the best per feature.
+are accumulated strip by strip in one task, which reads the files of both blocks, holds one
+block-by-block result and one strip of each side, and keeps what passes the cut or the best per feature.
 """
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sparselens.plans.blocks import BLOCK, TOKEN_WIDTH, _cells
+from sparselens.plans.blocks import BLOCK, TOKEN_WIDTH, _cells, block_products, write_blocks
 from sparselens.plans.topk import top_k
 
-# Entries of a strip that travel in one row (8 KB), so that an Arrow batch of such rows stays small.
-_ENTRIES = 512
 _FOUND = "left_id long, right_id long, score double, shared long"
 # Room for rounding between a bound and the product itself.
 _SLACK = 1e-9
 
 
-def _strips(cells, block, row_width):
-    """Entries of each (block, strip), packed in short rows."""
-    def pack(key, pdf):
-        b, strip = (int(k) for k in key)
-        f = (pdf["_f"].to_numpy() - b * block).astype("int32")
-        r, x = (pdf["_row"].to_numpy() - strip * row_width).astype("int32"), pdf["_x"].to_numpy()
-        parts = range(0, len(x), _ENTRIES)
-        return pdf.iloc[:len(parts)][["_b", "_rows"]].assign(
-            f=[f[k:k + _ENTRIES] for k in parts], r=[r[k:k + _ENTRIES] for k in parts], x=[x[k:k + _ENTRIES] for k in parts])
-
-    return cells.groupBy("_b", "_rows").applyInPandas(pack, "_b long, _rows long, f array<int>, r array<int>, x array<double>")
-
-
 def _lengths(cells, name, cosine):
     """Per (block, strip) the largest length of a feature's part; shares of the whole length for cosines."""
     parts = cells.groupBy("_f", "_b", "_rows").agg(F.sum(F.col("_x") * F.col("_x")).alias("_s"))
@@ -55,77 +39,11 @@ def block_pairs(left, right, cut, cosine, same):
     return bounds.select("lb", "rb")
 
 
-class _Product:
-    """The product of two blocks, fed strip by strip."""
-
-    def __init__(self, lb, rb, block, alone):
-        self.lb, self.rb, self.alone = lb, rb, alone  # alone: a block with itself, sent once
-        self.dots, self.shared = np.zeros((block, block)), np.zeros((block, block))
-        self.squares, self.block = [np.zeros(block), np.zeros(block)], block
-        self.strip, self.held = None, ([], [])
-
-    def add(self, strip, side, f, r, x):
-        if strip != self.strip:
-            self.flush()
-            self.strip = strip
-        self.held[side].append((f, r, x))
-
-    def _dense(self, parts, width):
-        f, r, x = (np.concatenate(c) for c in zip(*parts))
-        m, seen = np.zeros((width, self.block)), np.zeros((width, self.block), dtype="float32")
-        m[r, f], seen[r, f] = x, 1.0
-        return m, seen
-
-    def flush(self):
-        held, self.held = self.held, ([], [])
-        if not any(held):
-            return
-        width = 1 + max(int(r.max()) for side in held for _, r, _ in side)
-        dense = [self._dense(side, width) if side else None for side in held]
-        if self.alone:
-            dense[1] = dense[0]
-        for side, d in enumerate(dense):
-            if d is not None:
-                self.squares[side] += (d[0] * d[0]).sum(axis=0)
-        if dense[0] is not None and dense[1] is not None:
-            self.dots += dense[0][0].T @ dense[1][0]
-            self.shared += dense[0][1].T @ dense[1][1]
-
-    def found(self, cut, top, cosine, same):
-        """(left_id, right_id, score, shared) of the pairs that leave the task."""
-        self.flush()
-        score = self.dots
-        if cosine:
-            with np.errstate(invalid="ignore", divide="ignore"):
-                score = self.dots / np.sqrt(np.outer(*self.squares))
-        good = (self.shared > 0) & np.isfinite(score)
-        if cut is not None:
-            good &= score >= cut
-        if same and self.alone:
-            good &= ~np.eye(self.block, dtype=bool)
-            if top is None:
-                good &= np.triu(np.ones_like(good))
-        if top is None:
-            i, j = np.nonzero(good)
-            return self._rows(i, j, score, False)
-        parts = [self._rows(*self._best(score, good, top), score, False)]
-        if same and not self.alone:  # the other side's features have their best here too
-            j, i = self._best(score.T, good.T, top)
-            parts.append(self._rows(i, j, score, True))
-        return [np.concatenate(c) for c in zip(*parts)]
-
-    @staticmethod
-    def _best(score, good, top):
-        """Places of the ``top`` best entries of each row; equal scores keep the lower column."""
-        order = np.argsort(np.where(good, -score, np.inf), axis=1, kind="stable")[:, :top]
-        i = np.repeat(np.arange(len(score)), order.shape[1])
-        j = order.ravel()
-        keep = good[i, j]
-        return i[keep], j[keep]
-
-    def _rows(self, i, j, score, turned):
-        ids = (i + self.lb * self.block, j + self.rb * self.block)
-        return [*(ids[::-1] if turned else ids), score[i, j], self.shared[i, j].astype("int64")]
+def _best(left, order, top):
+    """Places of the ``top`` first entries of each left feature; ``order`` sorts all entries by feature first."""
+    first = np.r_[True, left[order][1:] != left[order][:-1]] if len(order) else np.zeros(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[np.arange(len(order)) - start < top]
 
 
 def similar_features(left, row, feature, value, right=None, cut=None, top=None, cosine=True, block=BLOCK, row_width=TOKEN_WIDTH):
@@ -141,34 +59,28 @@ def similar_features(left, row, feature, value, right=None, cut=None, top=None,
     same = right is None
     l = _cells(left, row, feature, value, block, row_width)
     r = l if same else _cells(right, row, feature, value, block, row_width)
-    pairs = block_pairs(l, r, cut, cosine, same)
-    sent = [_strips(cells, block, row_width).join(pairs.withColumn("_b", F.col(key)), "_b").withColumn("_side", F.lit(side))
-            for side, (cells, key) in enumerate(((l, "lb"), (r, "rb")))]
-    if same:
-        sent[1] = sent[1].where("lb <> rb")
-    met = sent[0].unionByName(sent[1]).select("lb", "rb", "_rows", "_side", "f", "r", "x")
-
-    def run(batches):
-        now = None
-        for batch in batches:
-            lb, rb, strip, side = (batch.column(k).to_pylist() for k in range(4))
-            flat = [batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (4, 5, 6)]
-            ends = np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))
-            for k, stop in enumerate(ends.tolist()):
-                if now is None or (now.lb, now.rb) != (lb[k], rb[k]):
-                    if now is not None:
-                        yield as_batch(now.found(cut, top, cosine, same))
-                    now = _Product(lb[k], rb[k], block, same and lb[k] == rb[k])
-                start = 0 if k == 0 else int(ends[k - 1])
-                now.add(strip[k], side[k], *(c[start:stop] for c in flat))
-        if now is not None:
-            yield as_batch(now.found(cut, top, cosine, same))
-
-    def as_batch(columns):
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["left_id", "right_id", "score", "shared"])
-
-    found = (met.repartition("lb", "rb").sortWithinPartitions("lb", "rb", "_rows", "_side").mapInArrow(run, _FOUND))
+    pairs = None if cut is None else block_pairs(l, r, cut, cosine, same)
+    files = [write_blocks(cells, block, row_width) for cells in ([l] if same else [l, r])] + [None]
+
+    def leave(product):
+        score = product.cosines() if cosine else product.dots
+        good = (product.shared > 0) & np.isfinite(score)
+        if cut is not None:
+            good &= score >= cut
+        if same and product.alone:
+            good &= ~np.eye(block, dtype=bool)
+            if top is None:
+                good = np.triu(good)
+        if top is not None and top < block:  # no entry below a row's last good place is needed
+            level = np.where(good, score, -np.inf)
+            good &= level >= np.partition(level, block - top, axis=1)[:, block - top, None]
+        return product.rows(*np.nonzero(good), score)
+
+    def finish(columns):
+        keep = _best(columns[0], np.lexsort((columns[1], -columns[2], columns[0])), top)
+        return [c[keep] for c in columns]
+
+    found = block_products(*files[:2], block, leave, _FOUND, pairs, same and top is not None, None if top is None else finish)
     if top is None:
         return found
     return top_k(found, "left_id", [F.desc("score"), F.col("right_id")], top)

@@ -79,6 +79,49 @@ def test_dense_products(spark, block):
     assert blocks.dense_products(df.where("false"), df).count() == 0
 
 
+def shuffles(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan[:plan.find("== Initial Plan ==")]
+
+
+def test_products_leave_their_task_once(spark):
+    """Partial products of all pairs of features were shuffled to be added up, and blocks were copied to each other."""
+    rng = np.random.default_rng(4)
+    m = np.where(rng.random((40, 9)) < 0.5, rng.random((40, 9)), 0)
+    cells = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m))], "t long, f int, x double")
+    for df in (blocks.sparse_products(cells, "t", "f", "x", 3, 4), blocks.sparse_cosines(cells, "t", "f", "x", 3, 4),
+               blocks.sparse_cross(cells, cells, "t", "f", "x", 3, 4)):
+        plan = shuffles(df)
+        assert plan.count("MapInArrow") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+    rows = blocks.sparse_cosines(cells, "t", "f", "x", 3, 4).collect()
+    size = np.sqrt((m * m).sum(axis=0))
+    assert len(rows) == 36 and all(r.cosine == pytest.approx((m.T @ m / np.outer(size, size))[r.feature_i, r.feature_j]) for r in rows)
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, vec array<double>")
+    assert shuffles(blocks.dense_products(vectors, vectors, block=4)).count("Exchange") == 1
+
+
+def test_ids_of_dense_products(spark):
+    """Negative ids were never met; ids may repeat, rows without one meet nothing."""
+    x = np.random.default_rng(5).normal(size=(6, 3))
+    ids = [-3, 2, 2, None, 700, 5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, vec array<double>")
+    known = [k for k, i in enumerate(ids) if i is not None]
+    rows = [(r.left_id, r.right_id, round(r.dot, 9)) for r in blocks.dense_products(df, df, block=2).collect()]
+    assert sorted(rows) == sorted((ids[a], ids[b], round(float(x[a] @ x[b]), 9)) for a in known for b in known)
+    near = blocks.nearest_products(df, df, exclude_self=True, block=2).collect()
+    assert len(near) == 6
+    for r in near:
+        dots = {(a, b): x[a] @ x[b] for a in known for b in known if ids[a] == r.left_id and ids[b] != ids[a]}
+        assert (r.nearest_id, r.similarity) == (None, None) if r.left_id is None else ids[max(dots, key=dots.get)[1]] == r.nearest_id
+
+
+def test_entries_without_a_row_or_a_feature_meet_nothing(spark):
+    cells = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (None, 1, 1.0), (1, None, 1.0), (-5, 1, 1.0), (-5, -2, 4.0)], "t long, f int, x double")
+    rows = {(r.feature_i, r.feature_j): r.dot for r in blocks.sparse_products(cells, "t", "f", "x", 2, 2).collect()}
+    assert rows == {(1, 1): 5.0, (1, 2): 6.0, (2, 2): 9.0, (-2, 1): 4.0, (-2, -2): 16.0}
+
+
 NULLABLE = [("a", 5, 1.5), ("a", 9, float("nan")), ("a", -7, 8.0), (None, 3, 1.0), (None, -2, 2.0), (None, 8, float("inf")),
             ("b", 1, float("-inf")), ("b", 2, None), ("b", 4, 0.0), ("c", 6, None)]
 
