@@ -435,13 +435,14 @@ def extract(spark, d):
            CAST(sum(c0) AS BIGINT) AS first_context, CAST(sum(c20) AS BIGINT) AS last_context
     FROM cx JOIN top ON top.sample_id = cx.token_id % (SELECT count(*) FROM embeddings) GROUP BY top.feature_id""")
 def corpus_to_activations(spark, d):
-    """The whole way: text, tokens, ids, chunks, vectors, units, contexts."""
+    """The whole way: text, tokens, ids, chunks, vectors, units, contexts. A token's vector comes from
+    the table, so the units of each of its vectors are computed once and looked up like the vector."""
     vectors = fr.read(spark, d, "embeddings")
     tokens = tk.corpus_samples(fr.read(spark, d, "documents"))
     tokens = tokens.withColumn("vec_id", F.col("token_id") % vectors.agg(F.count("*")).scalar())
-    samples = ae.vectors_for_tokens(tokens, vectors.withColumnRenamed("embedding", "vec"), "vec_id") \
-        .select("sample_id", "token_id", "chunk_id", "vec")
-    active = ae.encode_nested(samples, fr.model(spark, d), 0.07, 25)
+    coded = ae.encode_nested(vectors.select("vec_id", F.col("embedding").alias("vec")), fr.model(spark, d), 0.07, 25)
+    active = ae.vectors_for_tokens(tokens, coded, "vec_id", vec="features") \
+        .select("sample_id", "token_id", "chunk_id", "features")
     out = ac.nested_records(active, ac.context_windows(tokens))
     context = F.col("context_token_ids")
     return rounded(out.groupBy("feature_id").agg(
