@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sparselens import schema
 from sparselens.functions import text as X
 from sparselens.plans.inputs import spread
-from sparselens.plans.joins import lookup_join
+from sparselens.plans.joins import frequent_join, lookup_join
 from sparselens.plans.ordered import WIDTH, dense_index, rank_by_hash, running_sum
 
 
@@ -45,9 +45,12 @@ def build_vocabulary(tokens, word="word"):
 
 
 def assign_token_ids(tokens, vocab, word="word", max_rows=None):
-    """Replace words by ids; one frequent word does not overload a task."""
-    return lookup_join(tokens, vocab.select(F.col("token_text").alias(word), "token_id"),
-                       word, max_rows=max_rows)
+    """Replace words by ids; one frequent word does not overload a task. A vocabulary without a bound
+    grows with the corpus, so only its frequent words are sent to all tasks."""
+    ids = vocab.select(F.col("token_text").alias(word), "token_id")
+    if max_rows is not None:
+        return lookup_join(tokens, ids, word, max_rows=max_rows)
+    return frequent_join(tokens, ids, word)
 
 
 def document_chunks(docs, key="doc_id", docs_per_chunk=schema.DOCS_PER_BATCH * schema.BATCHES_PER_CHUNK,

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparselens.session import settle
+from sparselens.session import settle, staged
 
 BROADCAST_BYTES = 64 << 20
 BROADCAST_ROWS = 1_000_000
 SALTS = 32
+# Keys with at least this part of all rows are frequent, so there are no more of them than this.
+FREQUENT = 1 << 18
 # Below this estimated input size any single group fits one task.
 SMALL_INPUT = 64 << 20
 
@@ -67,3 +69,20 @@ def salted_join(big, small, keys, how="inner", salts=None):
     return (big.withColumn("_salt", salt)
             .join(small.withColumn("_salt", copies), [*keys, "_salt"], how)
             .drop("_salt"))
+
+
+def frequent_join(big, small, on, frequent=None):
+    """Inner join with a lookup side that may be nearly as large as ``big``, such as words with their ids.
+
+    Rows of frequent keys meet a broadcast part of the small side and are not moved. The other keys are
+    too rare to fill a task, so they meet in a plain join; neither side is copied.
+    """
+    if fits_broadcast(small):
+        return big.join(F.broadcast(small), on)
+    counts = staged(big.groupBy(on).agg(F.count("*").alias("_n")), "counts")
+    least = counts.agg(F.sum("_n")).scalar() / F.lit(frequent or FREQUENT)
+    hot = settle(counts.where(F.col(on).isNotNull() & (F.col("_n") >= least)).select(on))
+    small = staged(small, "lookup")
+    near = big.join(F.broadcast(small.join(F.broadcast(hot), on, "left_semi")), on)
+    far = big.join(F.broadcast(hot), on, "left_anti").join(small.join(F.broadcast(hot), on, "left_anti"), on)
+    return near.unionByName(far)

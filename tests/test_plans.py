@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparselens.plans import blocks, ordered
+from sparselens.operators import tokens
+from sparselens.plans import blocks, joins, ordered
 from sparselens.plans.topk import top_k
 
 
@@ -151,6 +152,20 @@ def test_quantiles_of_null_groups_nan_and_infinities(spark, monkeypatch):
     assert small == large and len(large) == 3
 
 
+@pytest.mark.parametrize("frequent", [1, 3, 1 << 18])
+def test_frequent_keys_are_not_moved_and_nothing_is_copied(spark, large, frequent):
+    words = ["the"] * 40 + ["of"] * 20 + [f"w{i}" for i in range(30)] + [None, "unknown", "unknown"]
+    big = spark.createDataFrame(list(enumerate(words)), "pos long, word string")
+    ids = [("the", 1), ("of", 2), ("of", 3), ("unused", 4), (None, 5), *((f"w{i}", 10 + i) for i in range(30))]
+    small = spark.createDataFrame(ids, "word string, token_id long")
+    got = joins.frequent_join(big, small, "word", frequent)
+    assert got.columns == ["word", "pos", "token_id"]
+    assert sorted((r.pos, r.word, r.token_id) for r in got.collect()) == sorted(
+        (p, w, i) for p, w in enumerate(words) for k, i in ids if w is not None and w == k)
+    plan = tokens.assign_token_ids(big, small.withColumnRenamed("word", "token_text"))._jdf.queryExecution().toString()
+    assert "Generate explode" not in plan  # no copies of the vocabulary
+
+
 def test_rows_of_keys_alone_are_spread(spark):
     from sparselens.plans.joins import salted_join
     big = spark.range(1000, numPartitions=8).select(F.lit(1).alias("k"))
