@@ -224,6 +224,24 @@ class Bags:
         own, times = np.unique(self.place[words], return_counts=True)
         return np.array([self.levels.setdefault((int(w), k), len(self.levels)) for w, n in zip(own, times) for k in range(1, n + 1)])
 
+    def held(self, own, begin, stop, width):
+        """Rows x ``width`` windows: 1 where a window holds a row's word often enough. A word ``own`` lies in the
+        windows from ``begin`` to before ``stop``; only words that an item has twice are counted."""
+        out = np.zeros((len(self.levels), width), np.uint8)
+        flat, first, last = out.ravel(), own * width + begin, own * width + stop
+        while len(first):
+            flat[first] = 1
+            inside = first + 1 < last
+            first, last = first[inside] + 1, last[inside]
+        if len(self.more):
+            again, row = np.unique(self.more, return_inverse=True)
+            met = np.isin(own, again)
+            own, cells = np.searchsorted(again, own[met]) * (width + 1), len(again) * (width + 1)
+            change = np.bincount(own + begin[met], minlength=cells) - np.bincount(own + stop[met], minlength=cells)
+            times = np.cumsum(change.reshape(-1, width + 1)[:, :-1], axis=1, dtype=np.int32)
+            out[len(out) - len(row):] = times[row] >= self.times[:, None]
+        return out
+
     def pairs(self, codes, left, right):
         """(windows, items) with enough words in common for a leak, some windows at a time;
         ``left`` and ``right`` ascend."""
@@ -238,11 +256,7 @@ class Bags:
             at = known[np.searchsorted(known, left[part[0]]):np.searchsorted(known, right[part[-1]])]
             begin, stop = np.searchsorted(right[part], at, side="right"), np.searchsorted(left[part], at, side="right")
             used = begin < stop
-            own, width = places[at[used]].astype(np.int64), len(part) + 1
-            cells = int(self.place[-1]) * width
-            change = np.bincount(own * width + begin[used], minlength=cells) - np.bincount(own * width + stop[used], minlength=cells)
-            held = np.cumsum(change.reshape(-1, width)[:, :-1], axis=1, dtype=np.int32)
-            held = np.concatenate([held > 0, held[self.more] >= self.times[:, None]]).view(np.uint8)
+            held = self.held(places[at[used]].astype(np.int64), begin[used], stop[used], len(part))
             windows, items = [], []
             for i, (rows, n, least, answer_rows, answer) in enumerate(self.items):
                 common = np.add.reduce(held[rows], axis=0, dtype=kind)

@@ -1,4 +1,6 @@
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -105,6 +107,35 @@ def test_paraphrases_in_unseen_words(spark, make_docs):
                 assert (w, i) in got or not (overlap >= decontam.COPY or overlap >= decontam.PARAPHRASE and answer)
 
 
+def test_words_held_by_windows(monkeypatch):
+    """Which words windows hold, and how often, as counted one by one, without wide numbers for all rows and windows."""
+    monkeypatch.setattr(decontam, "CELLS", 1 << 20)
+    rng = np.random.default_rng(3)
+    items = [(w, w[-8:]) for w in (np.append(rng.integers(0, 2000, 30), rng.integers(0, 20, 10)) for _ in range(40))]
+    bags = decontam.Bags(items, 2000)
+    codes = np.where(rng.random(60_000) < 0.3, rng.integers(0, 2001, 60_000), rng.integers(0, 25, 60_000))
+    for at in range(0, 60_000, 600):
+        codes[at:at + 40] = items[at // 600 % 40][0]
+        codes[at:at + rng.integers(0, 30)] = 2000
+    left = np.arange(0, 60_000, 23)
+    right = np.minimum(left + 70, len(codes))
+    tracemalloc.start()
+    got = {(w, i) for part in bags.pairs(codes, left, right) for w, i in zip(*map(np.ndarray.tolist, part))}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(bags.levels) * len(left) > decontam.CELLS and peak < 6 * decontam.CELLS
+
+    want = set()
+    wanted = [(Counter(w.tolist()), Counter(a.tolist()), len(w), len(a)) for w, a in items]
+    for w, (s, e) in enumerate(zip(left, right)):
+        there = Counter(codes[s:e].tolist())
+        for i, (words, answer, n, m) in enumerate(wanted):
+            common = (words & there).total()
+            if common >= decontam.PARAPHRASE * n and (common / n >= decontam.COPY or (answer & there).total() >= decontam.ANSWER * m):
+                want.add((w, i))
+    assert got == want and got
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(1)
     for _ in range(200):
