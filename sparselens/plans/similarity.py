@@ -74,7 +74,11 @@ def similar_features(left, row, feature, value, right=None, cut=None, top=None,
         if top is not None and top < block:  # no entry below a row's last good place is needed
             level = np.where(good, score, -np.inf)
             good &= level >= np.partition(level, block - top, axis=1)[:, block - top, None]
-        return product.rows(*np.nonzero(good), score)
+        i, j = np.nonzero(good)
+        if top is None:  # the answer itself: by falling score, so that equal counts lie side by side
+            order = np.lexsort((-score[i, j], i))
+            i, j = i[order], j[order]
+        return product.rows(i, j, score)
 
     def finish(columns):
         keep = _best(columns[0], np.lexsort((columns[1], -columns[2], columns[0])), top)

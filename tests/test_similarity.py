@@ -54,18 +54,22 @@ def test_best_partners(spark, block, width, top, cut):
 
 @pytest.mark.parametrize("same", [True, False])
 def test_a_task_of_an_answer_has_few_right_blocks(spark, same):
-    """Right ids repeat in a task: the answer is written in fewer bytes."""
+    """Right ids repeat in a task and equal scores lie side by side: the answer is written in fewer bytes."""
     m = (sparse(8, rows=40, features=64, share=0.6) != 0).astype(float)
     right = None if same else cells(spark, m, 128)
     found = similarity.similar_features(cells(spark, m), "t", "f", "x", right=right, cut=1.0, cosine=False, block=4)
     tasks = {}
-    for r in found.withColumn("task", F.spark_partition_id()).collect():
+    for r in found.withColumn("task", F.spark_partition_id()).collect():  # in the order of their task
         tasks.setdefault(r.task, []).append(r)
     n = m.T @ m
     want = {(i, j if same else j + 128) for i in range(64) for j in range(64) if n[i, j] and (i < j or not same)}
     rows = [(r.left_id, r.right_id) for of in tasks.values() for r in of]
     assert len(rows) == len(want) and set(rows) == want
     assert len(tasks) > 4 and max(len({r.right_id // 4 for r in of}) for of in tasks.values()) <= 2
+    for of in tasks.values():
+        for a, b in zip(of, of[1:]):
+            if (a.left_id, a.right_id // 4) == (b.left_id, b.right_id // 4):
+                assert a.score >= b.score
 
 
 @pytest.mark.parametrize("block,width", SIZES)
