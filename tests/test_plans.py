@@ -117,6 +117,17 @@ def test_ids_of_dense_products(spark):
         assert (r.nearest_id, r.similarity) == (None, None) if r.left_id is None else ids[max(dots, key=dots.get)[1]] == r.nearest_id
 
 
+@pytest.mark.parametrize("block, most", [(512, 0), (2, 35)])
+def test_dense_products_leave_by_value(spark, block, most):
+    """Products left in order of ids, so that a written answer took 8 bytes a product. A tile leaves by rising product."""
+    x = np.random.default_rng(6).normal(size=(12, 3))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").coalesce(1)
+    right = left.select((F.col("id") + 100).alias("id"), "vec")
+    rows = blocks.dense_products(left, right, block=block).select("*", F.spark_partition_id().alias("p")).collect()
+    assert len(rows) == 144 and sum(a.p == b.p and a.dot > b.dot for a, b in zip(rows, rows[1:])) <= most
+    assert {(r.left_id, r.right_id): round(r.dot, 9) for r in rows} == {(i, j + 100): round(float(x[i] @ x[j]), 9) for i in range(12) for j in range(12)}
+
+
 def test_entries_without_a_row_or_a_feature_meet_nothing(spark):
     cells = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (None, 1, 1.0), (1, None, 1.0), (-5, 1, 1.0), (-5, -2, 4.0)], "t long, f int, x double")
     rows = {(r.feature_i, r.feature_j): r.dot for r in blocks.sparse_products(cells, "t", "f", "x", 2, 2).collect()}
