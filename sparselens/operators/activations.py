@@ -99,11 +99,14 @@ def activation_records(active, contexts, sample="sample_id"):
                     "context_token_ids", F.col("chunk_id").cast("int").alias("chunk_id")))
 
 
-def nested_records(nested, contexts, sample="sample_id"):
+def nested_records(nested, contexts=None, sample="sample_id"):
     """``activation_records`` of samples with arrays of units: what meets the contexts is one row a
-    sample, and the records are written out behind the join."""
-    return (nested.where(F.size("features") > 0).join(contexts.select(sample, "context_token_ids"), sample)
-            .select(sample, "token_id", "chunk_id", "context_token_ids", F.explode("features").alias("_e"))
+    sample, and the records are written out behind the join. ``contexts=None``: the rows have their
+    ``context_token_ids`` already, and nothing moves."""
+    met = nested.where(F.size("features") > 0)
+    if contexts is not None:
+        met = met.join(contexts.select(sample, "context_token_ids"), sample)
+    return (met.select(sample, "token_id", "chunk_id", "context_token_ids", F.explode("features").alias("_e"))
             .select(sample, F.col("_e.feature_id").cast("int").alias("feature_id"), F.col("_e.activation_value").alias("activation_value"),
                     F.col("token_id").cast("int").alias("token_id"), "context_token_ids", F.col("chunk_id").cast("int").alias("chunk_id")))
 

@@ -29,9 +29,11 @@ def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
     ``order`` must be unique within ``by``. Exact for integer inputs.
     """
     by = list(by)
-    ranged = df.withColumn("_range", _range_of(order, width))
-    sums = ranged.groupBy(*by, "_range").agg(
-        *[F.sum(src).alias(f"_sum_{out}") for out, src in values.items()])
+    # Null groups and a null range meet too, as in a plain window: a struct is never null. It deals the
+    # rows to the window and to the join, so that they move once.
+    ranged = df.withColumn("_range", _range_of(order, width)).withColumn("_key", F.struct(*by, "_range"))
+    sums = ranged.groupBy("_key").agg(
+        *[F.sum(src).alias(f"_sum_{out}") for out, src in values.items()]).select("_key.*", *[f"_sum_{out}" for out in values])
     if estimated_bytes(df) > very_large:
         upto = running_sum(sums.withColumnRenamed("_range", "_fine"), "_fine",
                            {f"_upto_{out}": f"_sum_{out}" for out in values}, by, width,
@@ -44,18 +46,12 @@ def running_sum(df, order, values, by=(), width=WIDTH, very_large=VERY_LARGE):
         offsets = sums.select(*by, "_range", *[
             F.coalesce(F.sum(f"_sum_{out}").over(before), F.lit(0)).alias(f"_before_{out}")
             for out in values])
-    inside = (Window.partitionBy(*by, "_range").orderBy(order)
+    inside = (Window.partitionBy("_key").orderBy(order)
               .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.select("*", *[F.sum(src).over(inside).alias(f"_local_{out}")
                                  for out, src in values.items()])
-    # null groups and a null range meet too, as in a plain window
-    keys = [*by, "_range"]
-    offsets = offsets.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[f"_before_{out}" for out in values])
-    met = F.lit(True)
-    for i, k in enumerate(keys):
-        met = met & local[k].eqNullSafe(offsets[f"_key{i}"])
-    joined = local.join(offsets, met)
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[
+    offsets = offsets.select(F.struct(*by, "_range").alias("_key"), *[f"_before_{out}" for out in values])
+    return local.join(offsets, "_key").select(*[F.col(f"`{c}`") for c in df.columns], *[
         (F.col(f"_before_{out}") + F.col(f"_local_{out}")).alias(out) for out in values])
 
 

@@ -12,7 +12,7 @@ from sparselens.operators import resample as rs
 from sparselens.operators import splits as sp
 from sparselens.operators import tokens as tk
 from sparselens.plans.ordered import dense_index
-from sparselens.session import shared_dir
+from sparselens.session import shared_dir, staged
 from sparselens.sources import catalog as cat
 from sparselens.sources import commits as cm
 from sparselens.streaming import incremental as inc
@@ -436,18 +436,24 @@ def extract(spark, d):
     FROM cx JOIN top ON top.sample_id = cx.token_id % (SELECT count(*) FROM embeddings) GROUP BY top.feature_id""")
 def corpus_to_activations(spark, d):
     """The whole way: text, tokens, ids, chunks, vectors, units, contexts. A token's vector comes from
-    the table, so the units of each of its vectors are computed once and looked up like the vector."""
+    the table, so the units of each of its vectors are computed once and looked up like the vector, by
+    rows that have their contexts already: arrays of units are not moved. A unit's different tokens are
+    counted among the different tokens, so its records are added up without them and do not move either."""
     vectors = fr.read(spark, d, "embeddings")
-    tokens = tk.corpus_samples(fr.read(spark, d, "documents"))
-    tokens = tokens.withColumn("vec_id", F.col("token_id") % vectors.agg(F.count("*")).scalar())
-    coded = ae.encode_nested(vectors.select("vec_id", F.col("embedding").alias("vec")), fr.model(spark, d), 0.07, 25)
-    active = ae.vectors_for_tokens(tokens, coded, "vec_id", vec="features") \
-        .select("sample_id", "token_id", "chunk_id", "features")
-    out = ac.nested_records(active, ac.context_windows(tokens))
+    tokens = staged(tk.corpus_samples(fr.read(spark, d, "documents")), "tokens")
+    coded = staged(ae.encode_nested(vectors.select("vec_id", F.col("embedding").alias("vec")), fr.model(spark, d), 0.07, 25), "coded")
+
+    def active(rows):
+        met = rows.withColumn("vec_id", F.col("token_id") % vectors.agg(F.count("*")).scalar())
+        return ae.vectors_for_tokens(met, coded, "vec_id", vec="features")
+
+    out = ac.nested_records(active(ac.context_windows(tokens)))
     context = F.col("context_token_ids")
-    return rounded(out.groupBy("feature_id").agg(
-        F.count("*").alias("n"), F.sum("activation_value").alias("total"), F.count_distinct("token_id").alias("tokens"),
-        F.sum(context[0]).alias("first_context"), F.sum(context[20]).alias("last_context")), "total")
+    sums = out.groupBy("feature_id").agg(F.count("*").alias("n"), F.sum("activation_value").alias("total"),
+                                         F.sum(context[0]).alias("first_context"), F.sum(context[20]).alias("last_context"))
+    pairs = active(tokens.select("token_id").distinct()).select("token_id", F.explode("features.feature_id").alias("feature_id"))
+    counts = pairs.groupBy("feature_id", "token_id").agg(F.lit(1)).groupBy("feature_id").agg(F.count("token_id").alias("tokens"))
+    return rounded(sums.join(counts, "feature_id").select("feature_id", "n", "total", "tokens", "first_context", "last_context"), "total")
 
 
 NATURAL = """lower(regexp_extract(file, '^[A-Za-z_]+')), CAST(regexp_extract(file, '[0-9]+') AS BIGINT),

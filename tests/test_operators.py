@@ -625,3 +625,55 @@ def test_context_text_of_repeated_ids_and_rows(spark):
     for size in (3, None):
         got = sorted((r["sample_id"], r["context_text"] or []) for r in tx.with_context_text(rows, vocab, size).collect())
         assert got == [(1, ["a", "B", "c"]), (1, ["c", "c"]), (2, [])]
+
+
+def test_records_of_rows_with_contexts_do_not_move(spark, large):
+    """Arrays of units moved to meet contexts that were built from the same rows."""
+    samples = spark.createDataFrame([(i, i % 7, i // 10, [float(i % 3), 0.5, 0.0]) for i in range(30)], "sample_id long, token_id int, chunk_id int, vec array<double>")
+    contexts = ac.context_windows(samples, 2)
+    nested = ac.nested_entries(samples, 0.1, 2)
+    units = nested.select("sample_id", "features").toPandas().set_index("sample_id").features
+    mine = contexts.withColumn("features", F.when(F.col("sample_id") >= 0, F.array(F.struct(F.lit(4).alias("feature_id"), F.col("sample_id").cast("double").alias("activation_value")))))
+    got, plan = ac.nested_records(mine).collect(), ac.nested_records(mine)._jdf.queryExecution().executedPlan().toString()
+    windows = contexts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == windows.count("Exchange") and len(got) == 30
+    want = {r.sample_id: r.context_token_ids for r in contexts.collect()}
+    assert all(r.context_token_ids == want[r.sample_id] and r.feature_id == 4 and r.activation_value == r.sample_id for r in got)
+    joined = ac.nested_records(nested, contexts).collect()
+    assert sorted((r.sample_id, r.feature_id) for r in joined) == sorted((s, e["feature_id"]) for s, es in units.items() for e in es)
+
+
+def test_units_of_a_corpus_are_not_moved(spark, large, tmp_path):
+    """P13_corpus_to_activations moved 25 units and a context of every token; equal to sums over all records."""
+    from sparselens.workload import extraction
+    words = "the a of mouse house tree river stone cloud".split()
+    docs = [(i, " ".join(words[(i * j + j) % len(words)] for j in range(1 + 3 * i))) for i in range(12)]
+    spark.createDataFrame(docs + [(3, "twice the same id")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    vectors = np.random.default_rng(3).normal(size=(5, 4))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = extraction.corpus_to_activations(spark, str(tmp_path))
+    assert "hashpartitioning(sample_id" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.feature_id: r for r in out.collect()}
+    tokens = extraction.tk.corpus_samples(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    contexts = ac.context_windows(tokens).toPandas()
+    units = vectors.astype("float32").astype("float64")
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    f = vectors.astype("float32").astype("float64") @ units.T + [-0.05 * (i % 2) for i in range(5)]
+    for u in range(5):
+        mine = contexts[[f[t % 5, u] > 0.07 for t in contexts.token_id]]
+        if not len(mine):
+            assert u not in got
+            continue
+        r = got[u]
+        assert (r.n, r.tokens) == (len(mine), mine.token_id.nunique())
+        assert r.total == pytest.approx(sum(f[t % 5, u] for t in mine.token_id))
+        assert (r.first_context, r.last_context) == tuple(sum(c[k] for c in mine.context_token_ids) for k in (0, 20))
+
+
+def test_running_sum_moves_its_rows_once(spark, large):
+    """Rows moved to a window over ranges, and once more to meet the totals of the ranges before."""
+    df = spark.createDataFrame([(k, None if k % 3 == 0 else k % 3) for k in range(50)], "k long, g int")
+    out = large.running_sum(df.withColumn("one", F.lit(1)), "k", {"s": "one"}, ["g"], 4)
+    assert sorted((r.g or 0, r.s) for r in out.collect()) == sorted((k % 3, k // 3 + 1) for k in range(50))
+    again = large.running_sum(df.withColumn("one", F.lit(1)), "k", {"s": "one"}, ["g"], 4, float("inf"))  # rows once, totals three times
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange") == 4
