@@ -219,3 +219,26 @@ def test_pins_are_checked(spark, coder):
         with pytest.raises(ValueError, match=what):
             dg.pinned_shift(active, samples, spark.createDataFrame(rows, "feature_id int, value double"), model)
     assert dg.pinned_shift(active, samples, spark.createDataFrame([], "feature_id int, value double"), model).count() == 0
+
+
+def test_pins_of_any_number_in_slabs(spark, coder, monkeypatch):
+    """More than 4,096 pins were refused; a task holds one slab of them at a time."""
+    model, samples, dec = coder
+    active = ae.encode(samples, model, 0.3)
+    pins = spark.createDataFrame([(3 * k, k / 4) for k in range(10)], "feature_id int, value double")
+    whole = {(r.sample_id, r.feature_id): r for r in dg.pinned_shift(active, samples, pins, model).collect()}
+    monkeypatch.setattr(dg, "_PIN_CELLS", 10)  # two units a slab
+    cut = {(r.sample_id, r.feature_id): r for r in dg.pinned_shift(active, samples, pins, model).collect()}
+    assert len(cut) == 120 and set(cut) == set(whole)
+    for k, r in cut.items():
+        assert all(r[c] == pytest.approx(whole[k][c]) for c in ("change", "projection", "shift", "cosine"))
+    decoded = ae.decode(active, samples, model)
+    for r in dg.pinned_reconstruction(decoded, active, pins, model).collect():
+        assert np.allclose(r.reconstruction, 0.2 + np.arange(10) / 4 @ dec)
+    n = 4100
+    many = spark.range(n).select(F.col("id").cast("int").alias("feature_id"), F.array(F.lit(1.0)).alias("w_enc"), F.array(F.lit(2.0)).alias("w_dec"), F.lit(0.0).alias("b_enc"))
+    wide = ae.Autoencoder(many, spark.createDataFrame([([0.0],)], "b_dec array<double>"))
+    one = spark.createDataFrame([(1, [0.5])], "sample_id long, vec array<double>")
+    rows = dg.pinned_shift(ae.encode(one, wide, 0.1, 1), one, many.select("feature_id", F.lit(1.5).alias("value")), wide).collect()
+    assert len(rows) == n and rows[0].shift == pytest.approx(2 * (1.5 * n - 0.5))
+    assert sorted(round(r.change, 6) for r in rows) == [1.0] + [1.5] * (n - 1)
