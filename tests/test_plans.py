@@ -128,6 +128,27 @@ def test_dense_products_leave_by_value(spark, block, most):
     assert {(r.left_id, r.right_id): round(r.dot, 9) for r in rows} == {(i, j + 100): round(float(x[i] @ x[j]), 9) for i in range(12) for j in range(12)}
 
 
+@pytest.mark.parametrize("ordered_rows", [1, 1 << 22])
+def test_cosines_leave_by_value(spark, monkeypatch, ordered_rows):
+    """Cosines left in order of ids, so that a written answer took 8 bytes a pair."""
+    monkeypatch.setattr(blocks, "_ORDERED", ordered_rows)
+    m = np.random.default_rng(7).random((6, 20))
+    cells = spark.createDataFrame([(t, f, float(m[t, f])) for t in range(6) for f in range(20)], "t long, f int, x double")
+    rows = blocks.sparse_cosines(cells, "t", "f", "x", 16, 4).select("*", F.spark_partition_id().alias("p")).collect()
+    size = np.sqrt((m * m).sum(axis=0))
+    assert len(rows) == 190 and all(r.cosine == pytest.approx((m.T @ m / np.outer(size, size))[r.feature_i, r.feature_j]) and r.shared == 6 for r in rows)
+    assert sum(a.p == b.p and a.cosine > b.cosine for a, b in zip(rows, rows[1:])) <= (2 if ordered_rows == 1 else 0)
+
+
+def test_ones_are_multiplied_once(spark):
+    """Co-occurrences multiplied the same 0/1 blocks twice, for products and for numbers of common rows."""
+    m = np.random.default_rng(8).random((40, 9)) < 0.3
+    cells = spark.createDataFrame([(int(t), int(f), 1.0) for t, f in zip(*np.nonzero(m))], "t long, f int, x double")
+    args = cells.where("f < 4"), cells, "t", "f", "x", 3, 16
+    rows = sorted(blocks.sparse_cross(*args, ones=True).collect())
+    assert rows == sorted(blocks.sparse_cross(*args).collect()) and {(r.left_id, r.right_id): r.shared for r in rows}[0, 5] == (m[:, 0] & m[:, 5]).sum()
+
+
 def test_entries_without_a_row_or_a_feature_meet_nothing(spark):
     cells = spark.createDataFrame([(1, 1, 2.0), (1, 2, 3.0), (None, 1, 1.0), (1, None, 1.0), (-5, 1, 1.0), (-5, -2, 4.0)], "t long, f int, x double")
     rows = {(r.feature_i, r.feature_j): r.dot for r in blocks.sparse_products(cells, "t", "f", "x", 2, 2).collect()}
