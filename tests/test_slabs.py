@@ -197,3 +197,15 @@ def test_rows_of_a_unit_are_trimmed_in_the_task(spark, monkeypatch, held):
     assert tops[0] == tops[1] and few.count() < every.count() / 2
     with pytest.raises(ValueError):
         ae.encode(df, coder, 0.0, 3, top_k_samples=5)
+
+
+def test_entries_of_slabs_lie_side_by_side():
+    """``forward`` put the entries of all slabs together by a sort; a row's entries are now copied to their place."""
+    f = np.maximum(np.random.default_rng(2).normal(size=(5, 9)), 0)
+    f[3] = 0
+    ids = np.array([2, 3, 5, 7, 11, 13, 17, 19, 23])
+    found = [(f[:, lo:lo + 4] > 0).sum(axis=1) for lo in (0, 4, 8)]
+    parts = [(n, np.broadcast_to(ids[lo:lo + 4], f[:, lo:lo + 4].shape)[f[:, lo:lo + 4] > 0], f[:, lo:lo + 4][f[:, lo:lo + 4] > 0]) for n, lo in zip(found, (0, 4, 8))]
+    want = [[{"feature_id": int(i), "activation_value": v} for i, v in zip(ids, row) if v > 0] for row in f]
+    assert ae._side_by_side(5, parts).to_pylist() == want
+    assert ae._side_by_side(5, []).to_pylist() == [[]] * 5 and len(ae._side_by_side(0, [])) == 0
